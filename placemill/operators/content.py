@@ -124,9 +124,9 @@ def _mentions(docs: DataFrame, needles: DataFrame, broadcast_chars: int) -> Data
     found = None
     for n, upto in ((3, 6), (6, 12), (12, 24), (24, 10**9)):
         anchored = needles.where(F.length("needle").between(n, upto - 1)).withColumn("gram", F.substring("needle", 1, n))
-        starts = F.sequence(F.lit(1), F.length("low") - n + 1)
-        grams = low.where(F.length("low") >= n).select(
-            "doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("low"), i, F.lit(n))))).alias("gram")
+        # A look-ahead yields every overlapping run of n characters in one pass over the text.
+        grams = low.select(
+            "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("gram")
         )
         part = grams.join(anchored, "gram").drop("gram")
         found = part if found is None else found.unionByName(part)

@@ -12,38 +12,41 @@ from placemill.functions.text import escape_keyword, normalise_keyword, to_title
 from placemill.session import cut
 
 
-def _category_hits(keyword: Column) -> Column:
-    """Categories sharing a token with the keyword, longest token first, at most two."""
-    hits = []
-    for rank, c in enumerate(dims.CATEGORIES):
-        lengths = [F.when(keyword.contains(t) | F.lit(t).contains(keyword), F.lit(len(t))) for t in c.tokens]
-        hits.append(F.struct(
-            (-F.greatest(*lengths) if len(lengths) > 1 else -lengths[0]).alias("neg"), F.lit(rank).alias("rank"),
-            F.lit(c.id).alias("id"), F.lit(c.label).alias("label"),
-            F.array(*[F.lit(s) for s in c.selectors]).alias("selectors"),
-        ))
-    found = F.filter(F.array(*hits), lambda h: h["neg"].isNotNull())
-    return F.slice(F.array_sort(found), 1, 2)
+def category_tokens(spark: SparkSession) -> DataFrame:
+    """Fixed table of category rank and token."""
+    rows = [(i, t) for i, c in enumerate(dims.CATEGORIES) for t in c.tokens]
+    return spark.createDataFrame(rows, "rank int, token string")
 
 
 def resolve_keyword(keywords: DataFrame) -> DataFrame:
-    """Adds categories, generic, selectors, label and pattern; each distinct keyword is resolved once."""
+    """Adds categories, generic, selectors, label and pattern.
+
+    Each distinct keyword meets the fixed token table once; the two categories
+    sharing the longest tokens win, equal ones in table order.
+    """
     words = keywords.select("keyword").distinct().withColumn("k", normalise_keyword(F.col("keyword")))
-    words = words.withColumn("hits", _category_hits(F.col("k"))).withColumn("safe", escape_keyword(F.col("k")))
-    known = F.size("hits") > 0
+    tokens = F.broadcast(category_tokens(keywords.sparkSession))
+    shared = F.col("k").contains(F.col("token")) | F.col("token").contains(F.col("k"))
+    hits = words.join(tokens, shared).groupBy("keyword", "rank").agg(F.max(F.length("token")).alias("score"))
+    top = hits.groupBy("keyword").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "rank"))), 1, 2).alias("top"))
     fallback = dims.CATEGORIES[0]
+    known = F.col("top").isNotNull()
+    words = words.join(top, "keyword", "left").withColumn("safe", escape_keyword(F.col("k")))
+    generic = ~known & (F.col("safe") != "")
+    ids = F.array(*[F.lit(c.id) for c in dims.CATEGORIES])
+    labels = F.array(*[F.lit(c.label) for c in dims.CATEGORIES])
+    selectors = F.array(*[F.array(*[F.lit(s) for s in c.selectors]) for c in dims.CATEGORIES])
     pattern = F.replace("safe", F.lit(" "), F.lit(".*"))
     keys = F.array(*[F.lit(k) for k in [*dims.GENERIC_KEYS, "name"]])
-    generic_selectors = F.transform(keys, lambda k: F.concat(k, F.lit("~(?i)"), pattern))
-    generic = ~known & (F.col("safe") != "")
     resolved = words.select(
         "keyword",
-        F.when(known, F.transform("hits", lambda h: h["id"])).when(generic, F.expr("cast(array() as array<string>)"))
+        F.when(known, F.transform("top", lambda h: ids[h["rank"]])).when(generic, F.expr("cast(array() as array<string>)"))
         .otherwise(F.array(F.lit(fallback.id))).alias("categories"),
         generic.alias("generic"),
-        F.when(known, F.array_distinct(F.flatten(F.transform("hits", lambda h: h["selectors"])))).when(generic, generic_selectors)
+        F.when(known, F.array_distinct(F.flatten(F.transform("top", lambda h: selectors[h["rank"]]))))
+        .when(generic, F.transform(keys, lambda k: F.concat(k, F.lit("~(?i)"), pattern)))
         .otherwise(F.array(*[F.lit(s) for s in fallback.selectors])).alias("selectors"),
-        F.when(known, F.try_element_at("hits", F.lit(1))["label"]).when(generic, to_title_case(F.col("k")))
+        F.when(known, labels[F.try_element_at("top", F.lit(1))["rank"]]).when(generic, to_title_case(F.col("k")))
         .otherwise(F.lit(fallback.label)).alias("label"),
         F.when(generic, pattern).alias("pattern"),
     )

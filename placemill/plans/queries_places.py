@@ -484,20 +484,19 @@ def e1(spark, folder):
     return quality.search_stats(raw, deduped, deduped.where("score >= 12"), photos)
 
 
-@query("e2_name_quality", """
-with r as (select p_partkey as ord, '塔' || (p_partkey % 900) as original, case p_partkey % 6 when 0 then '塔' || (p_partkey % 900) when 1 then p_name when 2 then p_name || ' 塔' || (p_partkey % 900)
-  when 3 then 'ab' when 4 then upper(p_name) else 'Tower ' || p_partkey end as name from part where p_partkey % 3 <> 2),
+_NAMING = """case p_partkey % 6 when 0 then concat('塔塔塔', p_partkey % 900) when 1 then p_name when 3 then 'ab'
+  when 4 then concat(upper(p_name), ' 塔塔塔', p_partkey % 900) else concat('Tower ', p_partkey) end"""
+
+
+@query("e2_name_quality", f"""
+with r as (select p_partkey as ord, concat('塔塔塔', p_partkey % 900) as original, {_NAMING} as name from part where p_partkey % 5 <> 2),
 c as (select *, lag(original) over (partition by lower(name) order by ord) as prior from r where name <> original)
 select (select count(*) from r) as needing, count(*) as translated, count(*) filter (where contains(name, '塔')) as residual_script,
   count(*) filter (where contains(name, original)) as echoed_original, count(*) filter (where length(regexp_replace(name, '[^A-Za-z]', '', 'g')) < 3) as too_short,
   count(*) filter (where prior <> original) as collisions from c""")
 def e2(spark, folder):
-    rows = table(spark, folder, "part").selectExpr(
-        "p_partkey as ord", "case when p_partkey % 3 <> 2 then concat('塔', p_partkey % 900) else concat('tower ', p_partkey) end as original",
-        "case p_partkey % 6 when 0 then concat('塔', p_partkey % 900) when 1 then p_name when 2 then concat(p_name, ' 塔', p_partkey % 900) "
-        "when 3 then 'ab' when 4 then upper(p_name) else concat('Tower ', p_partkey) end as name",
-    )
-    return quality.name_quality(rows)
+    original = "case when p_partkey % 5 <> 2 then concat('塔塔塔', p_partkey % 900) else concat('tower ', p_partkey) end as original"
+    return quality.name_quality(table(spark, folder, "part").selectExpr("p_partkey as ord", original, f"{_NAMING} as name"))
 
 
 @query("e10_result_bounds", using("places") + """

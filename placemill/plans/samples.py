@@ -82,7 +82,7 @@ VIEWS["photos"] = ("orders", [
 VIEWS["claims"] = ("lineitem", ["l_suppkey % 25 as region_ord", "l_partkey as place_id"])
 
 VIEWS["entity_claims"] = ("lineitem", [
-    "concat('Q', l_suppkey) as entity_id", "l_orderkey * 10 + l_linenumber as ord",
+    "concat('Q', l_suppkey) as entity_id", "(l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as ord",
     "case l_linenumber when 1 then 'P31' when 2 then 'P571' when 3 then 'P84' when 4 then 'P2048' "
     "when 5 then 'P1174' when 6 then 'P131' else 'P17' end as property",
     "case l_linenumber when 2 then 'time' when 4 then 'quantity' when 5 then 'quantity' else 'wikibase-entityid' end as datatype",
@@ -183,7 +183,7 @@ VIEWS["sheet"] = ("supplier", [
     "case when s_suppkey % 5 <> 4 then concat('City ', s_nationkey) end as city",
     "case when s_suppkey % 4 = 0 then concat('province ', s_nationkey % 7) end as province",
     "case s_suppkey % 9 when 4 then 'museums' when 8 then ' ' end as attributes",
-    "case s_suppkey % 8 when 2 then 'no path' when 5 then concat('/data/run', s_suppkey) when 6 then 'C:\\out' end as path",
+    "case s_suppkey % 8 when 2 then 'no path' when 5 then concat('/data/run', s_suppkey) when 6 then concat('C:', chr(92), 'out') end as path",
     "case when s_suppkey % 2 = 0 then concat('see https://src', s_suppkey % 13, '.example.org/a), ok') "
     "when s_suppkey % 7 = 0 then 'ftp://src.example.org' end as add_source",
 ])
