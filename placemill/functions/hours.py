@@ -82,22 +82,28 @@ def split_sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, trimmed), lambda s: s != "")
 
 
-def hours_supported(sentence: Column, tag: Column) -> Column:
-    """True when the sentence claims no hours, or only hours the tag has."""
-    covered = days_covered(tag)
+def hours_supported(sentence: Column, covered: Column, times: Column) -> Column:
+    """True when the sentence claims no hours, or only days and times the tag has."""
     backed = (days_claimed(sentence).bitwiseAND(F.bitwise_not(covered)) == 0) & (
-        F.size(F.array_except(times_in(sentence), times_in(tag))) == 0
+        F.size(F.array_except(times_in(sentence), times)) == 0
     )
     return ~asserts_hours(sentence) | F.coalesce(backed, F.lit(False))
 
 
 def strip_unsupported_hours(text: Column, tag: Column) -> Column:
-    """Struct of the kept text and the removed sentences."""
-    sentences = split_sentences(text)
-    return F.struct(
-        F.array_join(F.filter(sentences, lambda s: hours_supported(s, tag)), " ").alias("kept"),
-        F.filter(sentences, lambda s: ~hours_supported(s, tag)).alias("removed"),
-    )
+    """Struct of the kept text and the removed sentences; the tag is read once, each sentence judged once."""
+    once = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def judge(t: Column) -> Column:
+        verdicts = F.transform(
+            split_sentences(text), lambda s: F.struct(s.alias("s"), hours_supported(s, t["covered"], t["times"]).alias("ok"))
+        )
+        return once(verdicts, lambda v: F.struct(
+            F.array_join(F.transform(F.filter(v, lambda j: j["ok"]), lambda j: j["s"]), " ").alias("kept"),
+            F.transform(F.filter(v, lambda j: ~j["ok"]), lambda j: j["s"]).alias("removed"),
+        ))
+
+    return once(F.struct(days_covered(tag).alias("covered"), times_in(tag).alias("times")), judge)
 
 
 # Fixed value: the stricter pattern by which the quality report finds a schedule.

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placemill.functions.text import CJK, clean_text, is_mostly_non_latin, opt, trimmed
+from placemill.functions.text import CJK, bind, clean_text, is_mostly_non_latin, opt, trimmed
 
 # The tags that wrap a model's reasoning, field limits of a record.
 REASONING = "think|thinking|reasoning"
@@ -117,13 +117,28 @@ def should_keep(record: Column) -> Column:
     return named & (record["keep"] | (record["score"] >= KEEP_ANYWAY))
 
 
+def object_text(raw: Column) -> Column:
+    """JSON text of the object in a response: as it is, without trailing commas, or cut back to its last complete property."""
+
+    def repaired(text: Column) -> Column:
+        whole = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+        no_commas = F.regexp_replace(whole, r",\s*([}\]])", "$1")
+        cut = F.concat(opt(F.regexp_extract(text, r'(?s)(\{.*["\]}]),', 1)), F.lit("}"))
+        valid = F.filter(F.array(whole, no_commas, cut), lambda c: (c != "") & F.try_parse_json(c).isNotNull())
+        return F.try_element_at(valid, F.lit(1))
+
+    return bind(trimmed(strip_json_comments(clean_completion(raw))), repaired)
+
+
 def parse_object(raw: Column) -> Column:
-    """VARIANT object: as it is, without trailing commas, or cut back to its last complete property."""
-    text = trimmed(strip_json_comments(clean_completion(raw)))
-    whole = opt(F.regexp_extract(text, r"(?s)\{.*\}", 0))
-    no_commas = F.regexp_replace(whole, r",\s*([}\]])", "$1")
-    cut = F.concat(opt(F.regexp_extract(text, r'(?s)(\{.*["\]}]),', 1)), F.lit("}"))
-    return F.coalesce(*[F.try_parse_json(c) for c in (whole, no_commas, cut)])
+    """The object in a response as VARIANT."""
+    return F.try_parse_json(object_text(raw))
+
+
+def json_field(text: Column, field: str) -> Column:
+    """One property as JSON text, the key order of nested objects kept (VARIANT would sort them)."""
+    value = F.try_variant_get(F.try_parse_json(text), f"$.{field}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.to_json(value)).otherwise(F.get_json_object(text, f"$.{field}"))
 
 
 def _titled(key: str) -> str:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemill import dims
 from placemill.functions.text import (
-    clean_text, is_mostly_non_latin, is_safe_http_url, opt, percent_encode, to_title_case, trimmed,
+    bind, clean_text, first_of, is_mostly_non_latin, is_safe_http_url, opt, percent_encode, to_title_case, trimmed,
 )
 
 
@@ -16,6 +16,34 @@ def tag(tags: Column, key: str) -> Column:
     return opt(tags[key])
 
 
+class Promoted:
+    """Tags looked up once and kept as columns; reads like the map it came from."""
+
+    def __init__(self, keys: set[str]):
+        self.keys = keys
+
+    def __getitem__(self, key: str) -> Column:
+        return F.col(f"`_tag_{key}`") if key in self.keys else F.lit(None).cast("string")
+
+
+def promote(df: DataFrame, keys: list[str]) -> tuple[DataFrame, Promoted]:
+    """One column per key, so that expressions using a tag several times do not search the map again."""
+    return df.withColumns({f"_tag_{k}": F.col("tags")[k] for k in keys}), Promoted(set(keys))
+
+
+def demote(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.startswith("_tag_")])
+
+
+# Keys the rule-based result reads.
+RULE_TAGS = (
+    "wikidata wikipedia description description:en website contact:website url operator:website phone contact:phone "
+    "contact:mobile operator:phone email contact:email addr:housenumber addr:street addr:neighbourhood addr:suburb "
+    "addr:district addr:city addr:state addr:postcode opening_hours operator brand cuisine denomination religion "
+    "start_date stars wheelchair"
+).split()
+
+
 def has(tags: Column, *keys: str) -> Column:
     return F.coalesce(*[tag(tags, k) for k in keys]).isNotNull()
 
@@ -41,12 +69,14 @@ def set_tag(tags: Column, key: str, value: Column) -> Column:
 
 def preferred_name(tags: Column) -> Column:
     """Display name: an English or international form replaces a local name in another script."""
-    value = lambda key: opt(clean_text(tags[key], 160))
-    local = value("name")
-    latin = F.coalesce(value("name:en"), value("official_name:en"), value("int_name"))
-    return F.when(is_mostly_non_latin(local) & latin.isNotNull(), latin).otherwise(
-        F.coalesce(local, latin, value("operator"), value("brand"))
+    value = lambda key: clean_text(tags[key], 160)
+    forms = F.struct(
+        first_of(value("name")).alias("local"), first_of(value("name:en"), value("official_name:en"), value("int_name")).alias("latin"),
+        first_of(value("operator"), value("brand")).alias("other"),
     )
+    return bind(forms, lambda f: F.when(is_mostly_non_latin(f["local"]) & f["latin"].isNotNull(), f["latin"]).otherwise(
+        F.coalesce(f["local"], f["latin"], f["other"])
+    ))
 
 
 def keep_local_name(tags: Column, name: Column) -> Column:
@@ -121,28 +151,27 @@ def is_chain_like(tags: Column) -> Column:
 
 def extract_contact(tags: Column) -> Column:
     """Phone, email, website, address and hours from the first usable tag of each."""
-    pick = lambda *keys: F.coalesce(*[opt(clean_text(tags[k], 300)) for k in keys])
+    pick = lambda *keys: first_of(*[clean_text(tags[k], 300) for k in keys])
     house = F.concat_ws(" ", tag(tags, "addr:housenumber"), tag(tags, "addr:street"))
     parts = [
         house,
         F.coalesce(tags["addr:neighbourhood"], tags["addr:suburb"]),
         tags["addr:district"], tags["addr:city"], tags["addr:state"], tags["addr:postcode"],
     ]
-    address = opt(F.concat_ws(", ", *[opt(clean_text(p, 120)) for p in parts]))
-    site = safe_website(pick("website", "contact:website", "url", "operator:website"))
+    stated = F.filter(F.array(*[clean_text(p, 120) for p in parts]), lambda p: p != "")
     return F.struct(
         pick("phone", "contact:phone", "contact:mobile", "operator:phone").alias("phone"),
         pick("email", "contact:email").alias("email"),
-        site.alias("website"),
-        address.alias("address"),
+        safe_website(pick("website", "contact:website", "url", "operator:website")).alias("website"),
+        F.when(F.size(stated) > 0, F.array_join(stated, ", ")).alias("address"),
         pick("opening_hours").alias("opening_hours"),
     )
 
 
 def safe_website(site: Column) -> Column:
     """https:// is assumed where no scheme is given; anything but http(s) is dropped."""
-    full = F.when(site.rlike("(?i)^https?://"), site).otherwise(F.concat(F.lit("https://"), site))
-    return F.when(is_safe_http_url(full), full)
+    full = lambda s: F.when(s.rlike("(?i)^https?://"), s).otherwise(F.concat(F.lit("https://"), s))
+    return F.try_element_at(F.filter(F.transform(F.array(site), full), is_safe_http_url), F.lit(1))
 
 
 def article(label: Column) -> Column:

@@ -31,9 +31,14 @@ def opt(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def first_of(*cols: Column) -> Column:
-    """First value that is neither null nor empty."""
-    return F.coalesce(*[opt(c) for c in cols])
+    """First value that is neither null nor empty; each is evaluated once."""
+    return F.try_element_at(F.filter(F.array(*cols), lambda c: c != ""), F.lit(1))
 
 
 def trimmed(c: Column) -> Column:
@@ -87,7 +92,7 @@ def is_mostly_non_latin(c: Column) -> Column:
     """More than 0.3 of the non-blank characters lie above Latin Extended-B."""
     seen = F.length(F.regexp_replace(c, r"[\x00-\x20]", ""))
     foreign = F.length(F.regexp_replace(c, r"[\x00-\x{24F}]", ""))
-    return F.coalesce((seen > 0) & (foreign / F.when(seen > 0, seen) > 0.3), F.lit(False))
+    return F.coalesce(foreign * 10 > seen * 3, F.lit(False))
 
 
 def has_residual_script(c: Column) -> Column:

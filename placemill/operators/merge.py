@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemill.functions.tags import information_score, overlay
+from placemill.functions.text import bind
 from placemill.operators.rank import top_k
 from placemill.session import cut
 
@@ -29,11 +30,6 @@ Match = Callable[[Column, Column], Column]
 Flag = Callable[[Column], Column]
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _absorb(kept: Column, x: Column, flag: Flag) -> Column:
     """The richer record stays on top and keeps both records' tags; ties keep the earlier one."""
     old = kept["place"]

@@ -6,20 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemill.functions import hours, responses as rs, tags as tg
-from placemill.functions.text import clean_text, is_mostly_non_latin, is_safe_http_url, opt
+from placemill.functions.text import bind, clean_text, first_of, is_mostly_non_latin, is_safe_http_url
 from placemill.operators.resolve import drop_collisions
 
 
 def heuristic_rows(places: DataFrame) -> DataFrame:
     """Rule-based result of every place; needs ``city`` and ``country``."""
-    return places.select(
-        *places.columns,
-        (F.length("name") > 1).alias("keep"),
-        tg.heuristic_summary(F.col("name"), F.col("category_label"), F.col("city"), F.col("country"), F.col("tags")).alias("summary"),
-        tg.extract_contact(F.col("tags")).alias("contact"),
-        tg.heuristic_score(F.col("tags"), F.col("osm_type")).alias("quality"),
-        F.lit(False).alias("llm_processed"),
-    )
+    df, t = tg.promote(places, tg.RULE_TAGS)
+    return tg.demote(df.withColumns({
+        "keep": F.length("name") > 1,
+        "summary": tg.heuristic_summary(F.col("name"), F.col("category_label"), F.col("city"), F.col("country"), t),
+        "contact": tg.extract_contact(t),
+        "quality": tg.heuristic_score(t, F.col("osm_type")),
+        "llm_processed": F.lit(False),
+    }))
 
 
 def completions_to_records(completions: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,8 +43,12 @@ def records_to_places(records: DataFrame, batches: DataFrame, keys: list[str]) -
 
 def readable_name(candidate: Column, fallback: Column) -> Column:
     """The candidate, unless empty or a step back from a readable name."""
-    undone = is_mostly_non_latin(candidate) & ~is_mostly_non_latin(fallback)
-    return F.coalesce(F.when(~undone, opt(candidate)), fallback)
+
+    def choose(c: Column) -> Column:
+        undone = is_mostly_non_latin(c) & ~is_mostly_non_latin(fallback)
+        return F.when((c != "") & ~undone, c).otherwise(fallback)
+
+    return bind(candidate, choose)
 
 
 def merge_responses(rows: DataFrame) -> DataFrame:
@@ -52,26 +56,25 @@ def merge_responses(rows: DataFrame) -> DataFrame:
     r, had = F.col("r"), F.col("r").isNotNull()
     checked = hours.strip_unsupported_hours(clean_text(r["summary"], 1200), F.col("tags")["opening_hours"])
     site = clean_text(r["website"], 500)
-    told = lambda field, n: opt(clean_text(r[field], n))
+    told = lambda field, n: first_of(clean_text(r[field], n))
     c = F.col("contact")
     contact = F.struct(
         F.coalesce(c["phone"], told("phone", 120)).alias("phone"),
         F.coalesce(c["email"], told("email", 160)).alias("email"),
-        F.coalesce(c["website"], F.when(is_safe_http_url(site), site)).alias("website"),
+        F.coalesce(c["website"], F.try_element_at(F.filter(F.array(site), is_safe_http_url), F.lit(1))).alias("website"),
         F.coalesce(c["address"], told("address", 400)).alias("address"),
         c["opening_hours"].alias("opening_hours"),
     )
-    return (
-        rows.withColumn("_fallback_keep", F.col("keep"))
-        .withColumn("keep", F.when(had, rs.should_keep(r)).otherwise(F.col("keep")))
-        .withColumn("enriched_name", F.when(had, readable_name(clean_text(r["name"], 200), F.col("name"))).otherwise(F.col("name")))
-        .withColumn("summary", F.when(had, F.coalesce(opt(checked["kept"]), F.col("summary"))).otherwise(F.col("summary")))
-        .withColumn("contact", F.when(had, contact).otherwise(F.col("contact")))
-        .withColumn("quality", F.when(had, F.floor(r["score"] + 0.5).cast("int")).otherwise(F.col("quality")))
-        .withColumn("llm_processed", had)
-        .withColumn("reason", F.when(had, opt(clean_text(r["reason"], 300))))
-        .drop("r")
-    )
+    return rows.withColumns({
+        "_fallback_keep": F.col("keep"),
+        "keep": F.when(had, rs.should_keep(r)).otherwise(F.col("keep")),
+        "enriched_name": F.when(had, readable_name(clean_text(r["name"], 200), F.col("name"))).otherwise(F.col("name")),
+        "summary": F.when(had, first_of(checked["kept"], F.col("summary"))).otherwise(F.col("summary")),
+        "contact": F.when(had, contact).otherwise(c),
+        "quality": F.when(had, F.floor(r["score"] + 0.5).cast("int")).otherwise(F.col("quality")),
+        "llm_processed": had,
+        "reason": F.when(had, first_of(clean_text(r["reason"], 300))),
+    }).drop("r")
 
 
 def guard_all_rejected(rows: DataFrame, key: str = "search_id") -> DataFrame:
@@ -107,8 +110,8 @@ def translations(completions: DataFrame, keys: list[str]) -> DataFrame:
 
 def parse_articles(completions: DataFrame, keys: list[str]) -> DataFrame:
     """Article columns of each response whose text holds an object; others drop out."""
-    obj = completions.withColumn("o", rs.parse_object(F.col("raw"))).where(F.col("o").isNotNull())
-    field = lambda f: F.to_json(F.try_variant_get("o", f"$.{f}", "variant"))
+    obj = completions.withColumn("o", rs.object_text(F.col("raw"))).where(F.col("o").isNotNull())
+    field = lambda f: rs.json_field(F.col("o"), f)
     text = lambda f: F.coalesce(rs.to_prose(field(f)), F.lit("")).alias(f)
     return obj.select(
         *keys, *[text(f) for f in ("overview", "history", "architecture", "context", "visiting", "practical")],

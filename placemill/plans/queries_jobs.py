@@ -198,13 +198,13 @@ def i50(spark, folder):
 select conv_id as batch_id, turn as pos, case when turn % 5 = 4 then null else 'Hall ' || turn end as overview, case when turn % 5 in (0, 1, 2) then 'https://x.example/' || turn end as link from conversations""")
 def i46(spark, folder):
     """Plain objects, comments, trailing commas, a cut-off tail, and text without an object."""
-    body = "'{\"overview\":\"Hall ', turn, '\"', {tail}"
-    link = "',\"link\":\"https://x.example/', turn, '\"'"
-    shapes = {
-        0: f"concat({body.format(tail=link)}, '}}')", 1: f"concat({body.format(tail=link)}, ', // note\n /* more */ }}')",
-        2: f"concat('so: ', {body.format(tail=link)}, ',}} ok')", 3: f"concat({body.format(tail=repr(',\"history\":\"cut off'))})", 4: "'no object here'",
-    }
-    raw = "case turn % 5 " + " ".join(f"when {k} then {v}" for k, v in shapes.items()) + " end"
+    head = """'{"overview":"Hall ', turn, '"'"""
+    link = """',"link":"https://x.example/', turn, '"'"""
+    shapes = [
+        f"concat({head}, {link}, '}}')", f"concat({head}, {link}, ', // note', char(10), '/* more */ }}')", f"concat('so: ', {head}, {link}, ',}} ok')",
+        f"concat({head}, ',\"history\":\"cut off')", "'no object here'",
+    ]
+    raw = "case turn % 5 " + " ".join(f"when {k} then {v}" for k, v in enumerate(shapes)) + " end"
     rows = table(spark, folder, "conversations").select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"), rs.parse_object(F.expr(raw)).alias("o"))
     return rows.select("batch_id", "pos", F.try_variant_get("o", "$.overview", "string").alias("overview"), F.try_variant_get("o", "$.link", "string").alias("link"))
 
@@ -217,7 +217,7 @@ def i48(spark, folder):
         "when 2 then '{\"v\":{\"opening_hours\":\"9 to 5\",\"bestTime\":true,\"x\":null}}' else '{\"v\":[\"a\",[\"b\",\"c\"]]}' end"
     )
     rows = table(spark, folder, "conversations").select(
-        F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"), rs.to_prose(F.to_json(F.try_variant_get(F.try_parse_json(value), "$.v", "variant"))).alias("prose")
+        F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"), rs.to_prose(rs.json_field(value, "v")).alias("prose")
     )
     return rows
 
@@ -260,12 +260,12 @@ def a9(spark, folder):
     rows = _results(spark, folder).withColumn("id", F.col("ord") % 300)
     older = rows.where("ord % 2 = 0")
     writers.save_results(older, path)
-    stored = spark.read.parquet(path).drop("day").select(*rows.columns)
+    stored = spark.read.parquet(path).drop("month").select(*rows.columns)
     return store.upsert(stored, rows.where("ord % 2 = 1")).select("id", "ord")
 
 
 @query("f7_live_per_key", using("searches") + """
-, l as (select max(ts) as now from fx_searches), r as (select key_id, search_id, row_number() over (partition by key_id order by ts desc, search_id desc) as rn from fx_searches, l where epoch_us(ts) > epoch_us(now) - 200 * 86400 * 1000000)
+, l as (select max(ts) as now from fx_searches), r as (select key_id, search_id, row_number() over (partition by key_id order by ts desc, search_id desc) as rn from fx_searches, l where epoch_us(ts) > epoch_us(now) - 17280000000000)
 select key_id as cache_key, search_id as id from r where rn = 1""")
 def f7(spark, folder):
     results = _results(spark, folder)

@@ -12,14 +12,14 @@ def write_corpus(df: DataFrame, path: str) -> None:
 
 
 def save_results(df: DataFrame, path: str) -> None:
-    """Appends result versions, partitioned by day; readers take the newest per id."""
-    df.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+    """Appends result versions, partitioned by month; readers take the newest per id."""
+    df.withColumn("month", F.date_format("created_at", "yyyy-MM")).hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
 
 
 def write_export_manifest(df: DataFrame, path: str) -> None:
     """One folder per country and city; only the partitions in ``df`` are replaced, whole or not at all."""
     (
-        df.repartition("country_dir", "city_dir", F.pmod(F.xxhash64("place_id"), F.lit(16)))
+        df.hint("rebalance", "country_dir", "city_dir")  # large cities are split, small ones packed
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("country_dir", "city_dir").parquet(path)
     )

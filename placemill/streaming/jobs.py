@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placemill.operators.quality import progress_totals
 from placemill.operators.resolve import claim_across_regions
@@ -20,7 +20,6 @@ from placemill.operators.resolve import claim_across_regions
 CLAIMS = "place_id bigint, region_ord bigint, batch_id bigint"
 FINISHED = ("done", "failed")
 FORGET_MS = 60_000
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _table(spark: SparkSession, path: str, shape: str) -> DataFrame:
@@ -61,42 +60,29 @@ def newest_in_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.sort_values(["ts", "ord"]).groupby("id", as_index=False).tail(1)
 
 
-class LatestStage(StatefulProcessor):
-    """Newest stage of one id; a finished id is forgotten a minute after its last update."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        shape = "ts timestamp, ord bigint, stage string"
-        self.live = handle.getValueState("live", shape)
-        self.ended = handle.getValueState("ended", shape, ttlDurationMs=FORGET_MS)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        for state in (self.live, self.ended):
-            if state.exists():
-                best = tuple(state.get())
-        for frame in rows:
-            row = frame.sort_values(["ts", "ord"]).iloc[-1]
-            seen = (row["ts"].to_pydatetime(), int(row["ord"]), row["stage"])
-            best = seen if best is None or (best[0], best[1]) < (seen[0], seen[1]) else best
-        done = best[2] in FINISHED
-        (self.ended if done else self.live).update(best)
-        (self.live if done else self.ended).clear()
-        yield pd.DataFrame({"id": [key[0]], "ts": [best[0]], "ord": [best[1]], "stage": [best[2]]})
-
-    def close(self) -> None:
-        pass
+STAGE = "id string, ts timestamp, ord bigint, stage string"
+STAGE_STATE = "us bigint, ord bigint, stage string"
 
 
-STAGE = "id string, ts timestamp, ord bigint, stage string"
+def track_stage(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Newest stage of one id; a finished id is forgotten a minute after its last update."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    best = state.get if state.exists else (-1, -1, "")
+    for frame in frames:
+        us = frame["ts"].astype("datetime64[us]").astype("int64")
+        best = max([best, *zip(us.tolist(), frame["ord"].tolist(), frame["stage"].tolist())], key=lambda r: (r[0], r[1]))
+    state.update(tuple(best))
+    if best[2] in FINISHED:
+        state.setTimeoutDuration(FORGET_MS)
+    yield pd.DataFrame({"id": [key[0]], "ts": [pd.Timestamp(best[0], unit="us")], "ord": [best[1]], "stage": [best[2]]})
 
 
 def latest_stage(progress: DataFrame) -> DataFrame:
     """Running newest stage per id (update mode); ``progress``: id, ts, ord, stage."""
-    progress.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     slim = progress.select("id", "ts", "ord", "stage").mapInPandas(newest_in_batch, STAGE)
-    return slim.groupBy("id").transformWithStateInPandas(
-        statefulProcessor=LatestStage(), outputStructType=STAGE, outputMode="Update", timeMode="ProcessingTime"
-    )
+    return slim.groupBy("id").applyInPandasWithState(track_stage, STAGE, STAGE_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest_stage_batch(progress: DataFrame) -> DataFrame:
