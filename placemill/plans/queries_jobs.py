@@ -210,7 +210,7 @@ def i46(spark, folder):
 
 
 @query("i48_to_prose", """
-select conv_id as batch_id, turn as pos, case turn % 4 when 0 then trim(role) when 1 then '1851. Built: by ' || turn || ' people' when 2 then 'Opening hours: 9 to 5. Best time: true' else 'a b; c' end as prose from conversations""")
+select conv_id as batch_id, turn as pos, case turn % 4 when 0 then trim(role) when 1 then '1851. Built: by ' || turn || ' people' when 2 then 'Opening hours: 9 to 5. Best Time: true' else 'a b; c' end as prose from conversations""")
 def i48(spark, folder):
     value = F.expr(
         "case turn % 4 when 0 then to_json(named_struct('v', role)) when 1 then concat('{\"v\":[\"1851.\",{\"Built\":\"by ', turn, ' people\"}]}') "

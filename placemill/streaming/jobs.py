@@ -65,7 +65,7 @@ STAGE_STATE = "us bigint, ord bigint, stage string"
 
 
 def track_stage(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Newest stage of one id; a finished id is forgotten a minute after its last update."""
+    """Newest stage of one id; a finished id is forgotten once the watermark is a minute past its last update."""
     if state.hasTimedOut:
         state.remove()
         return
@@ -75,14 +75,18 @@ def track_stage(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
         best = max([best, *zip(us.tolist(), frame["ord"].tolist(), frame["stage"].tolist())], key=lambda r: (r[0], r[1]))
     state.update(tuple(best))
     if best[2] in FINISHED:
-        state.setTimeoutDuration(FORGET_MS)
+        state.setTimeoutTimestamp(max(best[0] // 1000 + FORGET_MS, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"id": [key[0]], "ts": [pd.Timestamp(best[0], unit="us")], "ord": [best[1]], "stage": [best[2]]})
 
 
-def latest_stage(progress: DataFrame) -> DataFrame:
-    """Running newest stage per id (update mode); ``progress``: id, ts, ord, stage."""
-    slim = progress.select("id", "ts", "ord", "stage").mapInPandas(newest_in_batch, STAGE)
-    return slim.groupBy("id").applyInPandasWithState(track_stage, STAGE, STAGE_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+def latest_stage(progress: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Running newest stage per id (update mode); rows older than the watermark are dropped.
+
+    Event time drives the forgetting, so a replay gives the same result and a
+    run over what is available comes to an end.
+    """
+    slim = progress.select("id", "ts", "ord", "stage").mapInPandas(newest_in_batch, STAGE).withWatermark("ts", delay)
+    return slim.groupBy("id").applyInPandasWithState(track_stage, STAGE, STAGE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_stage_batch(progress: DataFrame) -> DataFrame:
