@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,17 +124,26 @@ def _pour(acc: Column, have: Column, factor: int | None, ceiling: int | None, pe
 
 
 def photos_near(places: DataFrame, photos: DataFrame, km: float = 1.0) -> DataFrame:
-    """(place, photo, metres) within ``km`` (at most 10), by grid cell and exact distance."""
+    """(place, photo, metres) within ``km`` (at most 10), by grid cell and exact distance.
+
+    Cosines are taken once per row and side; pairs fail on the squared half-chord
+    before the arc is computed.
+    """
     metres = min(round(km * 1000), 10_000)
     row = geo.lat_cell(F.col("lat"), metres)
-    placed = places.select("place_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
-                           F.explode(geo.neighbour_cells(F.col("lat"), F.col("lon"), metres)).alias("cell"))
-    placed = placed.select("place_id", "_lat", "_lon", F.col("cell.row").alias("_row"), F.col("cell.col").alias("_col"))
-    shot = photos.withColumn("_row", row).withColumn("_col", geo.lon_cell(F.col("lon"), row, metres))
-    near = placed.join(shot, ["_row", "_col"]).withColumn(
-        "metres", geo.haversine_m(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon"))
+    placed = places.select(
+        "place_id", F.radians("lat").alias("_lat"), F.radians("lon").alias("_lon"), F.cos(F.radians("lat")).alias("_cos"),
+        F.explode(geo.neighbour_cells(F.col("lat"), F.col("lon"), metres)).alias("cell"),
     )
-    return near.where(F.col("metres") <= metres).drop("_row", "_col", "_lat", "_lon")
+    placed = placed.select("place_id", "_lat", "_lon", "_cos", F.col("cell.row").alias("_row"), F.col("cell.col").alias("_col"))
+    shot = photos.withColumns({
+        "_row": row, "_col": geo.lon_cell(F.col("lon"), row, metres), "_plat": F.radians("lat"), "_plon": F.radians("lon"), "_pcos": F.cos(F.radians("lat")),
+    })
+    half = F.pow(F.sin((F.col("_plat") - F.col("_lat")) / 2), 2) + F.pow(F.sin((F.col("_plon") - F.col("_lon")) / 2), 2) * F.col("_cos") * F.col("_pcos")
+    bound = math.sin(metres / (2 * geo.EARTH_M)) ** 2 * (1 + 1e-9)
+    near = placed.join(shot, ["_row", "_col"]).withColumn("_half", half).where(F.col("_half") <= bound)
+    near = near.withColumn("metres", F.lit(2.0 * geo.EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt("_half"))))
+    return near.where(F.col("metres") <= metres).drop("_row", "_col", "_lat", "_lon", "_cos", "_plat", "_plon", "_pcos", "_half")
 
 
 def nearest_photos(places: DataFrame, photos: DataFrame, km: float = 1.0, per_place: int = 30) -> DataFrame:

@@ -35,12 +35,19 @@ def cut_results(places: DataFrame, limit: int = dims.MAX_RESULTS, arrival: str =
     return top_k(places, ["search_id"], [F.coalesce("quality", F.lit(0)).desc(), F.col(arrival)], limit, out="place_rank")
 
 
+def fetch_size(source: str, limit: int) -> int:
+    """Rows a discovery source is asked for."""
+    return {"overpass": min(3000, max(6 * limit, 150)), "wikidata": min(3 * limit, 120), "nominatim": min(limit, 40)}[source]
+
+
+def first_fetched(records: DataFrame, source: str, limit: int) -> DataFrame:
+    """A source's first rows of each search."""
+    return top_k(records, ["search_id"], [F.col("ord")], fetch_size(source, limit), out="fetch_rank").drop("fetch_rank")
+
+
 def over_fetch(records: DataFrame, limit: int) -> DataFrame:
     """Each source's first rows of a search, as many as that source is asked for."""
-    sizes = {
-        "overpass": min(3000, max(6 * limit, 150)), "wikidata": min(3 * limit, 120), "nominatim": min(limit, 40),
-    }
-    parts = [top_k(records.where(F.col("source") == s), ["search_id"], [F.col("ord")], n, out="fetch_rank") for s, n in sizes.items()]
+    parts = [first_fetched(records.where(F.col("source") == s), s, limit) for s in ("overpass", "wikidata", "nominatim")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

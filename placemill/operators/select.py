@@ -96,13 +96,16 @@ def filter_generic(df: DataFrame, keyword: str) -> DataFrame:
 
 
 def select_candidates(records: DataFrame, searches: DataFrame) -> DataFrame:
-    """Records of every search at once: its categories' selectors, or its pattern where it has none."""
-    wanted = searches.select("search_id", "categories", "pattern")
+    """Records of every search at once: its categories' selectors, or its pattern where it has none.
+
+    ``records.tags`` should be a stored column: the tests look tags up many times. Adds categories and label.
+    """
+    wanted = searches.select("search_id", "categories", "label", "pattern")
     joined = records.join(wanted, "search_id")
     return joined.where(
         F.when(F.col("pattern").isNotNull(), generic_match(F.col("tags"), F.col("pattern")))
         .otherwise(F.arrays_overlap(matching_categories(F.col("tags")), "categories"))
-    ).drop("categories", "pattern")
+    ).drop("pattern")
 
 
 def within_box(df: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:

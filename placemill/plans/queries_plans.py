@@ -8,7 +8,7 @@ from placemill.plans import batch, search
 from placemill.plans.queries_jobs import _ENTITY, _gazetteer_rows
 from placemill.plans.queries_places import FOLD, SCORED
 from placemill.plans.registry import query
-from placemill.plans.samples import places_with_tags, rich_places, sample, table, using
+from placemill.plans.samples import places_with_tags, rich_elements, sample, table, using
 from placemill.sources import readers
 
 
@@ -34,7 +34,7 @@ def _run(spark, folder):
     gazetteer = readers.gazetteer_places(_gazetteer_rows(spark, folder)).where("search_id < 5")
     photos = sample(spark, folder, "photos")
     return search.run_searches(
-        _searches(spark, folder), rich_places(spark, folder), entities, gazetteer, sample(spark, folder, "labels_of"),
+        _searches(spark, folder), rich_elements(spark, folder), entities, gazetteer, sample(spark, folder, "labels_of"),
         photos=photos, settings=search.Settings(limit=50),
     )
 

@@ -11,8 +11,8 @@ from placemill import dims
 from placemill.functions import tags as tg
 from placemill.operators import content, links, photos as ph, quality, resolve, responses, score, select
 from placemill.operators.rank import batch_ids, number_rows
-from placemill.sources.readers import union_all
 from placemill.session import cut
+from placemill.sources.readers import osm_places, union_all
 
 
 @dataclass(frozen=True)
@@ -33,12 +33,19 @@ def arrive(places: DataFrame, block: int, ord_col: str = "ord") -> DataFrame:
 
 
 def union_discovered(osm: DataFrame, entities: DataFrame, gazetteer: DataFrame, limit: int) -> DataFrame:
-    """Map records merged and sorted by richness first, then the two further sources, each cut to its fetch size."""
-    fetched = score.over_fetch(union_all(osm, entities, gazetteer), limit).drop("fetch_rank")
-    first = resolve.dedupe_places(fetched.where("source = 'overpass'"))
+    """Map records merged and sorted by richness first, then the two further sources, each cut to its fetch size.
+
+    Each source is stored once: the merges read it for their size check and
+    their fold, and the plan stays short.
+    """
+    osm, entities, gazetteer = (
+        cut(score.first_fetched(df, name, limit))
+        for df, name in ((osm, "overpass"), (entities, "wikidata"), (gazetteer, "nominatim"))
+    )
+    first = resolve.dedupe_places(osm)
     first = number_rows(first, ["search_id"], ["-score", "bucket_ord"], "first_ord", "_rank").drop("ord")
-    first = arrive(first, 0, "_rank").select(*fetched.columns)
-    return first.unionByName(arrive(fetched.where("source = 'wikidata'"), 1)).unionByName(arrive(fetched.where("source = 'nominatim'"), 2))
+    first = cut(arrive(first, 0, "_rank").select(*osm.columns))
+    return first.unionByName(arrive(entities, 1)).unionByName(arrive(gazetteer, 2))
 
 
 def top_places(places: DataFrame, n: int = 10) -> DataFrame:
@@ -47,11 +54,15 @@ def top_places(places: DataFrame, n: int = 10) -> DataFrame:
     return score.top_k(merged, ["search_id"], [F.col("score").desc(), *score.arrival_order(merged)], n, out="place_rank")
 
 
-def candidates_of(searches: DataFrame, osm: DataFrame, entities: DataFrame, gazetteer: DataFrame, s: Settings) -> DataFrame:
-    """Merged and ranked candidates of each search; ``searches``: search_id, keyword."""
+def candidates_of(searches: DataFrame, elements: DataFrame, entities: DataFrame, gazetteer: DataFrame, s: Settings) -> DataFrame:
+    """Merged and ranked candidates of each search; ``searches``: search_id, keyword.
+
+    Selectors test the raw elements, whose tags are a plain column, before names are derived.
+    """
     asked = select.resolve_keyword(searches.select("search_id", "keyword"))
-    wanted = select.select_candidates(osm, asked)
-    found = union_discovered(wanted, entities, gazetteer, s.limit)
+    wanted = cut(select.select_candidates(elements, asked))  # stored: the long filter is planned once
+    osm = osm_places(wanted, F.col("label"), F.coalesce(F.try_element_at("categories", F.lit(1)), F.lit("custom")))
+    found = union_discovered(osm, entities, gazetteer, s.limit)
     return score.cut_candidates(resolve.dedupe_places(found), s.limit)
 
 
@@ -69,18 +80,18 @@ def name_candidates(candidates: DataFrame, labels: DataFrame, answers: DataFrame
 
 
 def run_searches(
-    searches: DataFrame, osm: DataFrame, entities: DataFrame, gazetteer: DataFrame, labels: DataFrame,
+    searches: DataFrame, elements: DataFrame, entities: DataFrame, gazetteer: DataFrame, labels: DataFrame,
     completions: DataFrame | None = None, answers: DataFrame | None = None, vectors: DataFrame | None = None,
     photos: DataFrame | None = None, settings: Settings = Settings(),
 ) -> dict[str, DataFrame]:
     """Tables ``results``, ``pictures``, ``links`` and ``stats``.
 
-    ``searches``: search_id, keyword, city, country, country_code. ``completions``: search_id,
-    batch_no, raw. The merged candidates feed four branches, so they are checkpointed once.
+    ``searches``: search_id, keyword, city, country, country_code; ``elements``: raw map elements;
+    ``completions``: search_id, batch_no, raw. The merged candidates feed four branches, so they are checkpointed once.
     """
     s = settings
-    candidates = cut(candidates_of(searches, osm, entities, gazetteer, s))
-    named = name_candidates(candidates, labels, answers, vectors, s)
+    candidates = cut(candidates_of(searches, elements, entities, gazetteer, s))
+    named = cut(name_candidates(candidates, labels, answers, vectors, s))
     area = searches.select("search_id", "city", "country", "country_code")
     batched = batch_ids(named, ["search_id"], s.batch_rows).join(area, "search_id")
     keys = ["search_id", "batch_no"]
@@ -102,7 +113,7 @@ def run_searches(
     out["links"] = links.travel_links(named_links, list(s.providers))
     if photos is not None:
         out["pictures"] = pictures_of(results, photos, s)
-        raw = union_all(osm, entities, gazetteer)
+        raw = union_all(*[df.select("search_id") for df in (elements, entities, gazetteer)])
         out["stats"] = quality.search_stats(raw, candidates, results, out["pictures"])
     return out
 
