@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from placemill.functions import geo
+from placemill.functions.text import name_key
 from placemill.operators import content, photos, rank, resolve
 from placemill.operators.components import connected_components
 from placemill.plans.samples import places_with_tags, sample, table
@@ -21,8 +22,8 @@ def rows_of(df):
 
 def merged(places, **options):
     out = resolve.dedupe_places(places, **options)
-    return rows_of(out.select("search_id", "id", "segments", "score", "first_ord", "bucket_ord", F.map_entries("tags").cast("string")
-                              if False else F.to_json(F.array_sort(F.map_entries("tags"))).alias("t")))
+    return rows_of(out.select("search_id", "id", "segments", "score", "first_ord", "bucket_ord",
+                              F.to_json(F.array_sort(F.map_entries("tags"))).alias("t")))
 
 
 def hot_places(spark, n=160):
@@ -37,7 +38,7 @@ def hot_places(spark, n=160):
         for key in ("wikidata", "phone", "website", "brand", "cuisine", "stars"):
             if rng.random() < 0.12 + i / 800:
                 tags[key] = f"{key}{i}"
-        rows.append((1, i, f"node/{i}", name, 10 + rng.choice([0, 0, 0.001, 0.002, 0.01]), 20 + rng.choice([0, 0.0015, 0.0022]), rng.choice(["node", "way"]), tags))
+        rows.append((1, i, f"node/{i}", name, 10.0 + rng.choice([0, 0, 0.001, 0.002, 0.01]), 20.0 + rng.choice([0, 0.0015, 0.0022]), rng.choice(["node", "way"]), tags))
     return spark.createDataFrame(rows, "search_id bigint, ord bigint, id string, name string, lat double, lon double, osm_type string, tags map<string,string>")
 
 
@@ -47,10 +48,13 @@ def test_rounds_equal_fold(spark):
 
 
 def test_merge_is_stable_and_whole(spark):
-    places = places_with_tags(spark, FOLDER).where("amenity is null") if False else places_with_tags(spark, FOLDER)
+    places = places_with_tags(spark, FOLDER)
     out = resolve.dedupe_places(places)
     assert out.agg(F.sum("segments")).first()[0] == places.count()
-    assert out.select("name_key").distinct().count() == out.groupBy("name_key").count().count()
+    keyed = places.select(name_key(F.col("name")).alias("name_key")).distinct()
+    assert keyed.join(out, "name_key", "left_anti").isEmpty()
+    again = resolve.dedupe_places(out.drop("segments", "bucket_ord", "first_ord", "name_key", "score"))
+    assert again.count() == out.count()
 
 
 def test_components(spark):
@@ -103,7 +107,7 @@ def test_photos_near_everywhere(spark):
     """Grid join against brute force: mid latitudes, both sides of the date line, near a pole."""
     rng = random.Random(11)
     spots = [(0.0, 179.999), (60.0, -179.998), (89.995, 10.0), (-45.0, 30.0), (24.8, 67.0)]
-    near = lambda s: (max(-90, min(90, s[0] + rng.uniform(-0.02, 0.02))), (s[1] + rng.uniform(-0.04, 0.04) + 180) % 360 - 180)
+    near = lambda s: (max(-90.0, min(90.0, s[0] + rng.uniform(-0.02, 0.02))), (s[1] + rng.uniform(-0.04, 0.04) + 180) % 360 - 180)
     places = [(i, *near(rng.choice(spots))) for i in range(60)]
     shots = [(i, i, *near(rng.choice(spots))) for i in range(150)]
     want = {(p[0], s[0]) for p in places for s in shots if metres(p[1:], s[2:]) <= 1000}
