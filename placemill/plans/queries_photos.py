@@ -296,7 +296,8 @@ def _filled(spark, folder):
 
 
 @query("a7_read_targets_sheet", using("sheet") + """
-select country, city, province, nullif(trim(attributes), '') as attributes, path, add_source as cell, count(*) as n from fx_sheet group by all""")
+select country, city, province, nullif(trim(attributes), '') as attributes, path, add_source as cell, count(*) as n from fx_sheet
+  where coalesce(country, city, province, nullif(trim(attributes), ''), path, add_source) is not null group by all""")
 def a7(spark, folder):
     """The sheet written as quoted CSV and read back through the reader."""
     path = fresh_path(spark, "sheet")
