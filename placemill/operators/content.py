@@ -115,12 +115,16 @@ def match_articles(names: DataFrame, articles: DataFrame, min_chars: int = LONG_
 # --- excerpts -----------------------------------------------------------------
 
 def _mentions(docs: DataFrame, needles: DataFrame, broadcast_chars: int) -> DataFrame:
-    """(doc_id, place_id, needle) for every document that contains the needle."""
+    """The documents' columns and ``needle`` for every document that contains the needle.
+
+    A small needle list meets every text in one pass. A larger one is never
+    broadcast: each needle is anchored at its first n characters, n as long as
+    its length allows, and joined to the texts' runs of n characters.
+    """
     size = needles.agg(F.coalesce(F.sum(F.length("needle") + 32), F.lit(0))).first()[0]
-    low = docs.select("doc_id", F.lower("text").alias("low"))
+    low = docs.withColumn("low", F.lower("text"))
     if size <= broadcast_chars:
         return low.join(F.broadcast(needles), F.col("low").contains(F.col("needle"))).drop("low")
-    # Each needle is anchored at its first n characters, n as long as its length allows.
     found = None
     for n, upto in ((3, 6), (6, 12), (12, 24), (24, 10**9)):
         anchored = needles.where(F.length("needle").between(n, upto - 1)).withColumn("gram", F.substring("needle", 1, n))
@@ -153,7 +157,7 @@ def excerpts(docs: DataFrame, places: DataFrame, broadcast_chars: int = BROADCAS
     named = places.select("place_id", needle.alias("needle")).where(F.length("needle") >= 3)
     needles = named.select("needle").distinct()
     pairs = _mentions(docs, needles, broadcast_chars)
-    shown = pairs.join(docs, "doc_id").withColumn("excerpt", F.array_join(excerpt_windows(F.col("text"), F.col("needle")), " […] "))
+    shown = pairs.withColumn("excerpt", F.array_join(excerpt_windows(F.col("text"), F.col("needle")), " […] "))
     return shown.drop("text").join(named, "needle").drop("needle")
 
 

@@ -157,15 +157,16 @@ def _fold_rounds(rows: DataFrame, keys: list[str], match: Match, flag: Flag, bat
 
 def ordered_merge(
     rows: DataFrame, keys: list[str], match: Match, flag: Flag,
-    max_group: int = MAX_GROUP, batch: int = EVENTS_PER_ROUND,
+    max_group: int = MAX_GROUP, batch: int = EVENTS_PER_ROUND, small: bool = False,
 ) -> DataFrame:
     """``rows`` holds the keys and a ``place`` struct with ord, osm_type, tags, score and chain.
 
     Returns one row per kept record: keys, place, n (records folded), first_ord, and
-    group_ord, the first arrival of its group.
+    group_ord, the first arrival of its group. ``small`` says that the caller
+    has already found no group beyond ``max_group``.
     """
     big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_group).drop("_n")
-    if big.isEmpty():
+    if small or big.isEmpty():
         kept = _fold_groups(rows, keys, match, flag)
     else:
         big = cut(big)

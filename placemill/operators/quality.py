@@ -144,9 +144,9 @@ def count_by(rows: DataFrame, key: str) -> DataFrame:
 
 
 def stage_durations(progress: DataFrame) -> DataFrame:
-    """Microseconds from each event to the next of the same id; a day per span."""
-    from placemill.operators.store import epoch_us
+    """Microseconds from each event to the next of the same id; ten minutes per span."""
+    from placemill.operators.store import SPAN_US, epoch_us
 
     rows = progress.withColumn("us", epoch_us(F.col("ts")))
-    timed = next_value(rows, ["id"], ["us", "ord"], "us", "_next", F.floor(F.col("us") / 86_400_000_000))
+    timed = next_value(rows, ["id"], ["us", "ord"], "us", "_next", F.floor(F.col("us") / SPAN_US))
     return timed.withColumn("duration_us", F.col("_next") - F.col("us")).drop("_next", "us")

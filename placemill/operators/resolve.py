@@ -77,7 +77,7 @@ def dedupe_places(
             rows.join(big.where("all_chain"), keys[:2], "left_anti").withColumn("part", F.lit(0).cast("bigint"))
             .unionByName(_spread(rows, big))
         )
-    merged = ordered_merge(parted, keys, near_or_landmark, is_chain_like, max_group, batch)
+    merged = ordered_merge(parted, keys, near_or_landmark, is_chain_like, max_group, batch, small=not oversized)
     out = merged.withColumnRenamed("group_ord", "bucket_ord")
     if oversized:  # a split bucket still counts from its own first arrival
         whole = big.select("search_id", "name_key", F.col("bucket_ord").alias("_whole"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from placemill import dims
 from placemill.operators.rank import first_per, last_value_before
 
+SPAN_US = 600_000_000
+
 
 def epoch_us(ts: Column) -> Column:
     """Microseconds since 1970, without a time zone."""
@@ -46,14 +48,14 @@ def bounded_store(results: DataFrame, n: int = 200) -> DataFrame:
 def cached_as_of(requests: DataFrame, results: DataFrame, ttl_seconds: int = dims.CACHE_TTL_SECONDS) -> DataFrame:
     """Newest result of the key at each request, null when older than the time to live.
 
-    Requests and results are merged in time order; a span is one time to live,
+    Requests and results are merged in time order and cut into ten-minute spans,
     so a busy key spreads over as many tasks as it has spans.
     """
     save = results.select("cache_key", "ts", "event_id", F.lit(0).alias("kind"))
     ask = requests.select("cache_key", "ts", "event_id", F.lit(1).alias("kind"))
     both = ask.unionByName(save).withColumn("us", epoch_us(F.col("ts")))
     value = F.when(F.col("kind") == 0, F.struct(F.col("us").alias("us"), F.col("event_id").alias("event_id")))
-    seen = last_value_before(both, ["cache_key"], ["us", "kind", "event_id"], value, "hit", F.floor(F.col("us") / (ttl_seconds * 1_000_000)))
+    seen = last_value_before(both, ["cache_key"], ["us", "kind", "event_id"], value, "hit", F.floor(F.col("us") / SPAN_US))
     fresh = F.when(F.col("us") - F.col("hit.us") < ttl_seconds * 1_000_000, F.col("hit"))
     return seen.where("kind = 1").select(
         "event_id", "cache_key", "ts", fresh["event_id"].alias("result_id"), (F.col("us") - fresh["us"]).alias("age_us")
