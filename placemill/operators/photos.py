@@ -141,7 +141,9 @@ def photos_near(places: DataFrame, photos: DataFrame, km: float = 1.0) -> DataFr
     })
     half = F.pow(F.sin((F.col("_plat") - F.col("_lat")) / 2), 2) + F.pow(F.sin((F.col("_plon") - F.col("_lon")) / 2), 2) * F.col("_cos") * F.col("_pcos")
     bound = math.sin(metres / (2 * geo.EARTH_M)) ** 2 * (1 + 1e-9)
-    near = placed.join(shot, ["_row", "_col"]).withColumn("_half", half).where(F.col("_half") <= bound)
+    # Many meet many in a cell: both sides are shuffled by cell, where skewed cells can be split,
+    # instead of tying the work to however the photos happen to be partitioned.
+    near = placed.hint("merge").join(shot, ["_row", "_col"]).withColumn("_half", half).where(F.col("_half") <= bound)
     near = near.withColumn("metres", F.lit(2.0 * geo.EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt("_half"))))
     return near.where(F.col("metres") <= metres).drop("_row", "_col", "_lat", "_lon", "_cos", "_plat", "_plon", "_pcos", "_half")
 

@@ -66,7 +66,7 @@ def k2(spark, folder):
     )
 
 
-@query("i47_validate_record", _RECORDS + "select batch_id, pos, i, keep, name, case when pos % 5 = 1 then 60 else score end as score from v where pos % 5 <> 0 and pos % 5 <> 2")
+@query("i47_validate_record", _RECORDS + "select batch_id, pos, i, keep, name, (case when pos % 5 = 1 then 60 else score end)::double as score from v where pos % 5 <> 0 and pos % 5 <> 2")
 def i47(spark, folder):
     """Some records get a text score, some a missing one, some a name that is no text: defaults and rejections."""
     spoil = (
@@ -94,7 +94,7 @@ def _records(spark, folder):
 
 @query("c12_records_to_places", _RECORDS + """
 , b as (select conv_id as batch_id, turn as batch_pos, count(*) over (partition by conv_id) as size from conversations)
-select b.batch_id, b.batch_pos, v.name, v.score from b join v on b.batch_id = v.batch_id and v.i = b.batch_pos""")
+select b.batch_id, b.batch_pos, v.name, v.score::double as score from b join v on b.batch_id = v.batch_id and v.i = b.batch_pos""")
 def c12(spark, folder):
     out = responses.records_to_places(_records(spark, folder), _batches(spark, folder), ["batch_id"])
     return out.select("batch_id", "batch_pos", "r.name", "r.score")

@@ -79,7 +79,7 @@ def b15(spark, folder):
 , claims as (select 'Q' || (o_custkey % 200 * 4) as entity_id, case o_orderkey % 4 when 0 then 'P18' when 1 then 'P3451' when 2 then 'P373' else 'P5252' end as property, o_orderkey as ord,
    case when o_orderkey % 2 = 0 then 'File:' else '' end || 'Pic ' || o_custkey % 90 || '.jpg' as value from orders),
 files as (select distinct 'Pic ' || o_custkey % 60 || '.jpg' as title from orders)
-select p.ord, count(*) as n, sum(c.ord) as claim_ords from fx_places p join claims c on p.wikidata = c.entity_id and c.property in ('P18', 'P3451', 'P5252') join files f on replace(c.value, 'File:', '') = f.title group by 1""")
+select p.ord, count(*) as n, sum(c.ord)::bigint as claim_ords from fx_places p join claims c on p.wikidata = c.entity_id and c.property in ('P18', 'P3451', 'P5252') join files f on replace(c.value, 'File:', '') = f.title group by 1""")
 def c6(spark, folder):
     orders = table(spark, folder, "orders")
     claims = orders.selectExpr(
@@ -97,7 +97,7 @@ _NEAR = using("places", "photos") + f"""
   on ph.lat between pl.lat - 0.01 and pl.lat + 0.01 and ph.lon between pl.lon - 0.011 and pl.lon + 0.011) """
 
 
-@query("c10_photos_near", _NEAR + "select place_id, count(*) as n, sum(photo_id) as photo_ids, round(sum(metres), 3) as metres from near where metres <= 1000 group by place_id")
+@query("c10_photos_near", _NEAR + "select place_id, count(*) as n, sum(photo_id)::bigint as photo_ids, round(sum(metres), 3) as metres from near where metres <= 1000 group by place_id")
 def c10(spark, folder):
     places = sample(spark, folder, "places").select(F.col("ord").alias("place_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     shot = sample(spark, folder, "photos").select("photo_id", "ord", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))

@@ -69,7 +69,7 @@ def b2(spark, folder):
     return rows.select("ord", F.round("at.lat", 6).alias("lat"), F.round("at.lon", 6).alias("lon"))
 
 
-@query("b3_drop_unplaced", RICH + "select search_id, count(*) as n, sum(ord) as ords from placed group by search_id")
+@query("b3_drop_unplaced", RICH + "select search_id, count(*) as n, sum(ord)::bigint as ords from placed group by search_id")
 def b3(spark, folder):
     return rich_places(spark, folder).groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ord").alias("ords"))
 
@@ -83,7 +83,7 @@ def b4(spark, folder):
 @query("b5_filter_by_selectors", using("rich") + """
 , hit as (select unnest(
   case amenity when 'fast_food' then ['restaurant'] when 'bank' then ['bank'] when 'arts_centre' then ['cinema'] else [] end) as category, ord from fx_rich)
-select category, count(*) as n, sum(ord) as ords from hit group by category""")
+select category, count(*) as n, sum(ord)::bigint as ords from hit group by category""")
 def b5(spark, folder):
     rows = rich_elements(spark, folder).withColumn("category", F.explode(select.matching_categories(F.col("tags"))))
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("ord").alias("ords"))
@@ -315,7 +315,7 @@ def i31(spark, folder):
 
 
 @query("i39_parse_point", """
-select p_partkey as ord, case when p_partkey % 6 = 0 then null else p_size * 0.5 end as lat, case when p_partkey % 6 = 0 then null else 0.0 - p_partkey * 0.25 end as lon from part""")
+select p_partkey as ord, case when p_partkey % 6 = 0 then null else (p_size * 0.5)::double end as lat, case when p_partkey % 6 = 0 then null else (0.0 - p_partkey * 0.25)::double end as lon from part""")
 def i39(spark, folder):
     wkt = F.expr(
         "case when p_partkey % 6 = 0 then concat('Point(', p_partkey, ')') "
@@ -501,7 +501,7 @@ def e2(spark, folder):
 
 @query("e10_result_bounds", using("places") + """
 select search_id, round(min(lat) - 0.02, 6) as south, round(min(lon) - 0.02, 6) as west, round(max(lat) + 0.02, 6) as north, round(max(lon) + 0.02, 6) as east from fx_places group by search_id
-union all select 99, round(1.0 - 0.02, 6), round(2.0 - 0.02, 6), round(3.0 + 0.02, 6), round(4.0 + 0.02, 6)""")
+union all select 99, 0.98::double, 1.98::double, 3.02::double, 4.02::double""")
 def e10(spark, folder):
     places = sample(spark, folder, "places")
     areas = places.select("search_id").distinct().unionByName(spark.range(99, 100).select(F.col("id").alias("search_id")))

@@ -20,7 +20,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {}
 
 VIEWS["places"] = ("part", [
     "p_partkey % 5 as search_id", "p_partkey as ord", "concat('node/', p_partkey) as id", "p_name as name",
-    "24.8 + p_size * 0.0005 as lat", "67.0 + (p_partkey % 40) * 0.0005 as lon",
+    "cast(24.8 + p_size * 0.0005 as double) as lat", "cast(67.0 + (p_partkey % 40) * 0.0005 as double) as lon",
     "case p_partkey % 3 when 0 then 'overpass' when 1 then 'wikidata' else 'nominatim' end as source",
     "case when p_partkey % 7 = 0 then 'relation' else 'node' end as osm_type",
     "case when p_type = 'PROMO' then p_brand end as brand",
@@ -36,7 +36,7 @@ VIEWS["places"] = ("part", [
 # The same rows with names in two scripts and a wider choice of tags.
 VIEWS["rich"] = ("part", [
     "p_partkey % 5 as search_id", "p_partkey as ord", "p_partkey as osm_id", "concat('node/', p_partkey) as id",
-    "24.8 + p_size * 0.0005 as lat", "67.0 - (p_partkey % 40) * 0.0005 as lon",
+    "cast(24.8 + p_size * 0.0005 as double) as lat", "cast(67.0 - (p_partkey % 40) * 0.0005 as double) as lon",
     "case p_partkey % 10 when 0 then concat('博物馆', p_partkey) when 5 then concat('  ', p_name, ' Café ') "
     "when 7 then null else p_name end as name",
     "case when p_partkey % 20 = 0 then concat(p_name, ' Hall') when p_partkey % 40 = 7 then concat(p_name, ' Spot') end as name_en",
@@ -69,7 +69,7 @@ VIEWS["rich"] = ("part", [
 
 VIEWS["photos"] = ("orders", [
     "o_orderkey as photo_id", "o_orderkey as ord",
-    "24.7 + (o_orderkey % 50) * 0.005 as lat", "66.9 + (o_custkey % 40) * 0.005 as lon",
+    "cast(24.7 + (o_orderkey % 50) * 0.005 as double) as lat", "cast(66.9 + (o_custkey % 40) * 0.005 as double) as lon",
     "concat('node/', o_custkey % 200) as place_id", "800 + (o_orderkey % 30) * 100 as width",
     "case o_orderstatus when 'F' then 'wikidata' when 'O' then 'commons-category' else 'openverse' end as source",
     "case o_orderkey % 5 when 0 then 'image/svg+xml' when 1 then 'image/png' else 'image/jpeg' end as mime",
