@@ -29,7 +29,7 @@ END = "</w>"
 HEAD = 4
 # Bounds of what a worker remembers; beyond them it forgets and goes on.
 TABLE_MOST = 1_000_000
-WORDS_MOST = 1_000_000
+WORDS_MOST = 600_000
 
 # Fixed values of the vocabulary's format: special tokens' ids aside, how a text is cut before merging.
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

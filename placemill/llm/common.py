@@ -24,6 +24,23 @@ def texts(docs: DataFrame, text: Column | None = None) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text") if text is None else text, F.lit("")).alias("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, whole): each row numbered as it lies and put into one struct, so that no helper column can clash with its own.
+
+    The numbers are the same at each reading of a stored table.
+    """
+    return docs.select(F.monotonically_increasing_id().alias(ROW), F.struct("*").alias("whole"))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row, however often it is used, also inside lambdas and filters.
+
+    Spark puts a plain column's expression wherever the column is used; it does not
+    look through a generator, here one of a single element.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: one evaluation, and nothing to recompute when an executor goes."""
     path = fresh_path(df.sparkSession, label)

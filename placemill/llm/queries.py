@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm import bpe, lattice
+from placemill.llm import bpe, decontaminate, lattice, licences, lines, near_copies, personal_data, prefix_hash, quality, toxicity
 from placemill.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,9 +33,58 @@ def op1_lattice_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@register
+def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies.jaccard_join(read(spark, folder, "documents"))
+
+
+@register
+def op3_prefix_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    out = prefix_hash.edited_fingerprints(read(spark, folder, "documents"))
+    digest = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    return out.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@register
+def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.license_scan(read(spark, folder, "documents"))
+
+
 @register
 def op5_bpe_automaton(spark: SparkSession, folder: str) -> DataFrame:
     ids = bpe.encode_documents(read(spark, folder, "documents"), word_bpe())
     return bpe.decode_documents(ids, word_bpe()).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     )
+
+
+@register
+def op6_counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return scores.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@register
+def op7_quality_network(spark: SparkSession, folder: str) -> DataFrame:
+    scores = quality.quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return scores.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register
+def op8_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@register
+def op9_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data.find_personal_data(read(spark, folder, "documents"))
+    of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("bigint")
+    return found.select(
+        "doc_id", *(of_kind(i).alias(f"n_{kind}") for i, kind in enumerate(personal_data.KINDS[:4])),
+        F.sha2(personal_data.span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), personal_data.span_text(F.concat("base", "added")).alias("spans"),
+    )
+
+
+@register
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.deduplicate(read(spark, folder, "documents"))
