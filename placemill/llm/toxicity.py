@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placemill.llm.common import stored
 from placemill.llm.labelled import labelled_sample
+from placemill.llm.near_copies import gram_hashes
 
 WORD = re.compile(r"[^\W\d_]+")
 SAMPLE = 20_000
 WORDS = 3000
+STEMS = (3, 4, 5, 6)
 FLUSH = 300_000
 
 # Names of groups, by kind. Within a kind each may stand for another.
@@ -42,14 +45,30 @@ IDENTITY_TERMS = (
 
 
 def words_in(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+    """The words present, and their beginnings of three to six letters (marked ``*``), for languages that put endings on words."""
+    words = set(WORD.findall(text.lower()))
+    return words.union(*[[w[:n] + "*" for w in words if len(w) > n] for n in STEMS])
 
 
-def telling_words(sample: DataFrame, most: int = WORDS, least: int = 5) -> list[str]:
-    """The words whose presence tells the labels apart best, at most ``most``; all identity terms come besides.
+def one_of_copies(sample: DataFrame) -> DataFrame:
+    """The sample with one text for each label and MinHash of five-word n-grams, so that near copies teach once, not as often as they lie about."""
 
-    Per word the number of texts and of toxic texts is summed; words in fewer than
-    ``least`` texts are left out. Ranked by |log odds ratio| over its standard error.
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [int(g.min()) >> 1 if (g := gram_hashes(t.as_py())).size else -1 for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["doc_id", "text", "label", "key"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    keyed = sample.select("doc_id", "text", "label").mapInArrow(key, f"doc_id {kind}, text string, label double, key bigint")
+    first = keyed.groupBy("key", "label").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    return stored(first.select("r.doc_id", "r.text", "label"), "labelled")
+
+
+def telling_words(sample: DataFrame, most: int = WORDS, least: float = 3.0) -> list[str]:
+    """The words whose presence tells the labels apart, at most ``most``; all identity terms come besides.
+
+    Per word the number of clean and of toxic texts is summed. Ranked by |log odds
+    ratio| over its standard error, of which there must be ``least``.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +91,10 @@ def telling_words(sample: DataFrame, most: int = WORDS, least: int = 5) -> list[
 
     counts = sample.select("text", "label").mapInArrow(count, "word string, clean bigint, toxic bigint").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     n = sample.agg(F.count_if(F.col("label") < 0.5).alias("clean"), F.count_if(F.col("label") >= 0.5).alias("toxic")).first()
-    counts = counts.where((F.col("clean") + F.col("toxic") >= least) & (F.length("word") <= 64))
+    counts = counts.where((F.col("clean") + F.col("toxic") > 1) & (F.length("word") <= 64))
     a, b, c, d = F.col("toxic") + 0.5, F.lit(n["toxic"] + 0.5) - F.col("toxic"), F.col("clean") + 0.5, F.lit(n["clean"] + 0.5) - F.col("clean")
     strength = F.abs(F.log(a * d / (b * c))) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    best = [r["word"] for r in counts.orderBy(strength.desc(), "word").limit(most).collect()]
+    best = [r["word"] for r in counts.withColumn("z", strength).where(F.col("z") >= least).orderBy(F.desc("z"), "word").limit(most).collect()]
     return best + sorted({w for kind in IDENTITY_TERMS for w in kind} - set(best))
 
 
@@ -104,7 +123,7 @@ def swaps(present: list[int], index: dict[str, int]) -> list[list[int]]:
     return out
 
 
-def fit(rows: list[tuple[list[int], float]], words: list[str], evenness: float = 1.0, decay: float = 2e-4, steps: int = 250) -> LinearModel:
+def fit(rows: list[tuple[list[int], float]], words: list[str], evenness: float = 1.0, decay: float = 2e-5, steps: int = 250) -> LinearModel:
     """Logistic loss, plus ``evenness`` times the mean squared change of the logit under swaps, plus weight decay; Adam."""
     size = len(words)
     index = {w: i for i, w in enumerate(words)}
@@ -141,7 +160,7 @@ def fit(rows: list[tuple[list[int], float]], words: list[str], evenness: float =
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evenness: float = 1.0) -> LinearModel:
-    rows = labelled_sample(docs, labels, "toxic", sample)
+    rows = one_of_copies(labelled_sample(docs, labels, "toxic", sample))
     words = telling_words(rows)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 

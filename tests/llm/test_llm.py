@@ -282,7 +282,7 @@ def test_classifiers_on_held_out_rows(spark, name, label):
     ranks = [i for i, r in enumerate(order) if r[label] == 1]
     ones = len(ranks)
     auc = (sum(ranks) - ones * (ones - 1) / 2) / (ones * (len(order) - ones))
-    assert right >= 0.9 and auc >= 0.9
+    assert right >= 0.9 and auc >= 0.85
 
 
 def test_swapped_groups_score_alike():
