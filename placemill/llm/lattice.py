@@ -129,7 +129,8 @@ class Lattice:
         total = np.full((width + 1, count), -np.inf)
         total[0] = 0.0
         for end in range(1, width + 1):
-            total[end] = self._log_sum([total[end - n] + w[end - n] for n, w in weights if n <= end])
+            if terms := [total[end - n] + w[end - n] for n, w in weights if n <= end]:
+                total[end] = self._log_sum(terms)
         return total
 
     def _back(self, width: int, weights: list[tuple[int, np.ndarray]], count: int) -> np.ndarray:
@@ -137,7 +138,8 @@ class Lattice:
         total = np.full((width + 1, count), -np.inf)
         total[width] = 0.0
         for start in range(width - 1, -1, -1):
-            total[start] = self._log_sum([w[start] + total[start + n] for n, w in weights if start + n <= width])
+            if terms := [w[start] + total[start + n] for n, w in weights if start + n <= width]:
+                total[start] = self._log_sum(terms)
         return total
 
     def _by_length(self, words: list[bytes]) -> Iterator[np.ndarray]:
