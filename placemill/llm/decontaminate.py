@@ -67,7 +67,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, share: float = SHARE, least: int
     wanted = items.select("key", F.col("item_id"), F.col("hashes").alias("item"))
     wanted = F.broadcast(wanted) if small else wanted
     # Texts meet their alignments as texts: hashes of all words would be twice as much to shuffle.
-    found = aligned.join(wanted, "key").join(docs.select(ROW, "doc_id", "text"), ROW)
+    found = aligned.join(wanted, "key").join(docs.select(ROW, "doc_id", "text").hint("merge"), ROW)
     found = once(found, "hashes", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))).drop("text")
     checked = once(found, "n_match", _matches(F.col("hashes"), F.col("item"), F.col("shift")).cast("bigint")).select(
         ROW, "doc_id", "item_id", F.col("shift").cast("bigint").alias("first_word"), "n_match", F.size("item").cast("bigint").alias("n_words")
@@ -89,4 +89,4 @@ def remove_contaminated(docs: DataFrame, tests: DataFrame, **options) -> DataFra
     """The rows of ``docs`` in which no test item was found; all columns stay. ``docs`` must read the same each time."""
     rows = packed(docs)
     found = overlaps(rows.select(ROW, "whole.doc_id", "whole.text"), tests, **options).select(ROW).distinct()
-    return rows.join(found, ROW, "left_anti").select("whole.*")
+    return rows.join(found.hint("merge"), ROW, "left_anti").select("whole.*")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placemill.llm.common import ROW, stored
+from placemill.llm.common import ROW, once, stored
 
 BREAKS = {"line": "\n", "paragraph": "\n\n"}
 
@@ -79,7 +79,8 @@ def deduplicate(docs: DataFrame, unit: str = "line", min_words: int = 1) -> Data
     repeats = repeated_units(stored(units(rows, unit, min_words), "units"))
     per_row = repeats.groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("pos", "start", "end"))).alias("cut"))
     pieces = F.split(F.col("text"), re.escape(BREAKS[unit]), -1)
-    joined = rows.withColumn("text", F.coalesce("text", F.lit(""))).join(per_row, ROW, "left").withColumn("pieces", pieces)
+    joined = rows.withColumn("text", F.coalesce("text", F.lit(""))).join(per_row.hint("merge"), ROW, "left")
+    joined = once(joined, "pieces", pieces)
     stay = F.array_except(F.sequence(F.lit(0).cast("bigint"), F.size("pieces").cast("bigint") - 1), F.col("cut.pos"))
     kept = F.array_join(F.transform(stay, lambda i: F.get("pieces", i.cast("int"))), BREAKS[unit])
     return joined.select(

@@ -221,7 +221,7 @@ def redact(docs: DataFrame, **options) -> DataFrame:
         return F.struct(text.alias("text"), F.greatest(done["at"], s["end"]).alias("at"))
 
     folded = F.aggregate("_spans", begin, step, lambda done: F.concat(done["text"], F.substring(F.col("whole.text"), (done["at"] + 1).cast("int"), F.length("whole.text"))))
-    joined = rows.join(spans, ROW, "left")
+    joined = rows.join(spans.hint("merge"), ROW, "left")
     clean = joined.withColumn("_new", F.when(F.col("_spans").isNull(), F.col("whole.text")).otherwise(folded))
     length = F.when(F.col("_spans").isNull(), F.col("whole.n_chars")).otherwise(F.length("_new")) if "n_chars" in docs.columns else None
     new = {"text": F.col("_new")} | ({"n_chars": length.cast(docs.schema["n_chars"].dataType)} if length is not None else {})
