@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placemill.functions.text import CJK, bind, clean_text, is_mostly_non_latin, opt, trimmed
+from placemill.functions.text import CJK, clean_text, is_mostly_non_latin, opt, trimmed
 
 # The tags that wrap a model's reasoning, field limits of a record.
 REASONING = "think|thinking|reasoning"
@@ -63,6 +63,29 @@ def scan_objects(text: pd.Series) -> pd.Series:
     return text.map(balanced_objects, na_action="ignore")
 
 
+def _last_wins(text: str) -> str | None:
+    try:
+        return json.dumps(json.loads(text, parse_constant=_reject), ensure_ascii=False, allow_nan=False)
+    except (ValueError, RecursionError):
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def _without_repeats(text: pd.Series) -> pd.Series:
+    return text.map(_last_wins, na_action="ignore")
+
+
+def plain_json(text: Column) -> Column:
+    """The text if it is JSON, null if not. Of a key given twice the last value stays; only such texts meet Python."""
+    native = F.try_parse_json(text).isNotNull()
+    return F.when(native, text).otherwise(_without_repeats(F.when(~native & text.contains('"'), text)))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def scan_plain_objects(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: [_last_wins(o) for o in balanced_objects(t)], na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def _drop_comments(text: pd.Series) -> pd.Series:
     plain = lambda m: m[1] or ("\n" if m[0].startswith("//") else "")
@@ -79,8 +102,8 @@ def parse_records(raw: Column) -> Column:
     """Array of VARIANT records: the outermost array, else every balanced object."""
     text = clean_completion(raw)
     whole = F.regexp_extract(text, r"(?s)\[.*\]", 0)
-    listed = F.try_variant_get(F.try_parse_json(opt(whole)), "$", "array<variant>")
-    loose = scan_objects(F.when(listed.isNull() & text.contains("{"), text))
+    listed = F.try_variant_get(F.try_parse_json(plain_json(opt(whole))), "$", "array<variant>")
+    loose = scan_plain_objects(F.when(listed.isNull() & text.contains("{"), text))
     return F.coalesce(listed, F.transform(loose, lambda o: F.try_parse_json(o)))
 
 
@@ -119,15 +142,11 @@ def should_keep(record: Column) -> Column:
 
 def object_text(raw: Column) -> Column:
     """JSON text of the object in a response: as it is, without trailing commas, or cut back to its last complete property."""
-
-    def repaired(text: Column) -> Column:
-        whole = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-        no_commas = F.regexp_replace(whole, r",\s*([}\]])", "$1")
-        cut = F.concat(opt(F.regexp_extract(text, r'(?s)(\{.*["\]}]),', 1)), F.lit("}"))
-        valid = F.filter(F.array(whole, no_commas, cut), lambda c: (c != "") & F.try_parse_json(c).isNotNull())
-        return F.try_element_at(valid, F.lit(1))
-
-    return bind(trimmed(strip_json_comments(clean_completion(raw))), repaired)
+    text = trimmed(strip_json_comments(clean_completion(raw)))
+    whole = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    no_commas = F.regexp_replace(whole, r",\s*([}\]])", "$1")
+    cut = F.concat(opt(F.regexp_extract(text, r'(?s)(\{.*["\]}]),', 1)), F.lit("}"))
+    return F.coalesce(*[plain_json(opt(c)) for c in (whole, no_commas, cut)])
 
 
 def parse_object(raw: Column) -> Column:

@@ -245,8 +245,15 @@ def entity_url(tag_value: Column) -> Column:
     return F.concat(F.lit("https://www.wikidata.org/wiki/"), entity_id(tag_value))
 
 
+def plain_number(c: Column) -> Column:
+    """A double as people write it: no ``.0``, no exponent down to 18 decimals."""
+    text = c.cast("string")
+    written_out = F.regexp_replace(F.regexp_replace(text.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", "")
+    return F.when(text.contains("E"), F.coalesce(written_out, text)).otherwise(F.regexp_replace(text, r"\.0$", ""))
+
+
 def map_url(name: Column, lat: Column, lon: Column) -> Column:
-    query = F.concat(name, F.lit(" "), lat.cast("string"), F.lit(","), lon.cast("string"))
+    query = F.concat(name, F.lit(" "), plain_number(lat), F.lit(","), plain_number(lon))
     return F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), percent_encode(query))
 
 

@@ -23,18 +23,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) edges over bigint nodes to (node, component); the component is its smallest node."""
     current = cut(edges.select("u", "v").where("u <> v").distinct())
     previous = None
-    for _ in range(max_rounds):
+    while True:
         current = cut(_star(_star(current, large=True), large=False))
         totals = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if totals == previous:
             break
         previous = totals
-    else:
-        raise RuntimeError("components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         current.select(F.col("v").alias("node"), F.col("v").alias("component"))
     ).distinct()

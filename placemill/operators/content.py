@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from placemill.operators.rank import first_per, number_rows, top_k
 LONG_ENOUGH = 200      # characters an article needs to count
 WINDOW = 350           # characters shown on either side of a mention
 MAX_WINDOWS = 3
-BROADCAST_CHARS = 200_000  # needles beyond this size are joined by anchor instead of broadcast
+SHARD_CHARS = 2_000_000  # needles that one automaton holds; each further shard reads the texts once more
 
 
 # --- names ------------------------------------------------------------------
@@ -24,14 +28,20 @@ def english_labels(labels: DataFrame) -> DataFrame:
     return labels.select("entity_id", text.alias("english")).where((F.col("english") != "") & ~is_mostly_non_latin(F.col("english")))
 
 
+def _no_key(*columns: str) -> Column:
+    """A join key that meets nothing, spread over the rows."""
+    return F.concat(F.lit("-"), F.xxhash64(*columns).cast("string"))
+
+
 def apply_english_names(places: DataFrame, labels: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """Readable names for places in other scripts: entity label first, then a stored translation.
 
-    Only rows in need are joined. The original stays in ``name:local``.
+    Rows that need none get a key of their own that no entity has, so they do not
+    meet in one task. The original stays in ``name:local``.
     """
     needing = is_mostly_non_latin(F.col("name"))
-    qid = F.when(needing, tg.entity_id(F.col("tags")["wikidata"]))
-    known = english_labels(labels).withColumnRenamed("entity_id", "_q")
+    qid = F.coalesce(F.when(needing, tg.entity_id(F.col("tags")["wikidata"])), _no_key("search_id", "ord"))
+    known = english_labels(labels).groupBy(F.col("entity_id").alias("_q")).agg(F.min("english").alias("english"))
     out = places.withColumn("_q", qid).join(known, "_q", "left").drop("_q")
     if answers is not None:
         out = out.join(answers.select("search_id", "ord", F.col("name").alias("_answer")), ["search_id", "ord"], "left")
@@ -77,9 +87,11 @@ def place_facts(places: DataFrame, facts: DataFrame) -> DataFrame:
 
 def article_titles(places: DataFrame, entities: DataFrame) -> DataFrame:
     """Host and title of each place's article: the entity's link, else the place's own tag."""
-    link = entities.select("entity_id", F.col("sitelink").alias("_link"))
+    link = entities.groupBy(F.col("entity_id").alias("_q")).agg(F.min("sitelink").alias("_link"))
     own = tg.lang_title(F.coalesce(F.col("tags")["wikipedia"], F.col("tags")["wikipedia:en"]))
-    joined = places.withColumn("entity_id", tg.entity_id(F.col("tags")["wikidata"])).join(link, "entity_id", "left").withColumn("own", own)
+    keyed = places.withColumn("entity_id", tg.entity_id(F.col("tags")["wikidata"]))
+    keyed = keyed.withColumn("_q", F.coalesce("entity_id", _no_key(*[c for c in places.columns if c != "tags"])))
+    joined = keyed.join(link, "_q", "left").drop("_q").withColumn("own", own)
     lang = F.when(F.col("_link").isNotNull(), "en").otherwise(F.coalesce("own.lang", F.lit("en")))
     return joined.withColumn("host", F.concat(lang, F.lit(".wikipedia.org"))).withColumn(
         "title", F.coalesce("_link", "own.title")
@@ -104,6 +116,7 @@ def match_articles(names: DataFrame, articles: DataFrame, min_chars: int = LONG_
     hit = hits.select("host", F.col("key").alias("_k"), "title", "hit_rank")
     equal = wanted.join(hit, (wanted["key"] == hit["_k"]) & (wanted["host"] == hit["host"])).drop(hit["host"])
     longer_title = prefixes(hits, "_k").select(F.col("host").alias("_h"), "_k", "title", "hit_rank")
+    longer_title = first_per(longer_title, ["_h", "_k"], [F.col("hit_rank"), F.col("title")])  # of titles with one beginning only the best can win
     by_title = wanted.join(longer_title, (F.col("key") == F.col("_k")) & (F.col("host") == F.col("_h"))).drop("_h")
     longer_name = prefixes(wanted, "_p")
     by_name = longer_name.join(hit.withColumnRenamed("host", "_h"), (F.col("_p") == F.col("_k")) & (F.col("host") == F.col("_h"))).drop("_h", "_p")
@@ -114,27 +127,44 @@ def match_articles(names: DataFrame, articles: DataFrame, min_chars: int = LONG_
 
 # --- excerpts -----------------------------------------------------------------
 
-def _mentions(docs: DataFrame, needles: DataFrame, broadcast_chars: int) -> DataFrame:
+def _finder(needles: list[str], names: list[str]):
+    """Rows of the columns ``names`` (the last one the text to search) with each needle their text holds."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for n in needles:
+            automaton.add_word(n, n)
+        automaton.make_automaton()
+        for batch in batches:
+            rows, found = [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+                here = {n for _, n in automaton.iter(text.as_py() or "")}
+                rows += [i] * len(here)
+                found += sorted(here)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-1]), pa.array(found, pa.string())], names=[*names, "needle"])
+
+    return find
+
+
+def _mentions(docs: DataFrame, needles: DataFrame, shard_chars: int) -> DataFrame:
     """The documents' columns and ``needle`` for every document that contains the needle.
 
-    A small needle list meets every text in one pass. A larger one is never
-    broadcast: each needle is anchored at its first n characters, n as long as
-    its length allows, and joined to the texts' runs of n characters.
+    Needles are dealt into shards of about ``shard_chars`` characters; each shard
+    becomes one automaton that reads every text once, so texts are not shuffled,
+    cut into runs or paired with needles.
     """
     size = needles.agg(F.coalesce(F.sum(F.length("needle") + 32), F.lit(0))).first()[0]
-    low = docs.withColumn("low", F.lower("text"))
-    if size <= broadcast_chars:
-        return low.join(F.broadcast(needles), F.col("low").contains(F.col("needle"))).drop("low")
+    shards = max(1, -(-size // shard_chars))
+    rows = docs.withColumn("low", F.lower("text"))
+    shape = docs.withColumn("needle", F.lit("")).schema
     found = None
-    for n, upto in ((3, 6), (6, 12), (12, 24), (24, 10**9)):
-        anchored = needles.where(F.length("needle").between(n, upto - 1)).withColumn("gram", F.substring("needle", 1, n))
-        # A look-ahead yields every overlapping run of n characters in one pass over the text.
-        grams = low.select(
-            "doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))).alias("gram")
-        )
-        part = grams.join(anchored, "gram").drop("gram")
-        found = part if found is None else found.unionByName(part)
-    return found.join(low, "doc_id").where(F.col("low").contains(F.col("needle"))).drop("low")
+    for k in range(shards):
+        mine = [r["needle"] for r in needles.where(F.pmod(F.xxhash64("needle"), F.lit(shards)) == k).collect()]
+        if mine:
+            part = rows.mapInArrow(_finder(mine, docs.columns), shape)
+            found = part if found is None else found.unionByName(part)
+    return docs.withColumn("needle", F.lit("")).limit(0) if found is None else found
 
 
 def excerpt_windows(text: Column, needle: Column, around: int = WINDOW, most: int = MAX_WINDOWS) -> Column:
@@ -151,12 +181,12 @@ def excerpt_windows(text: Column, needle: Column, around: int = WINDOW, most: in
     return F.array_compact(F.array(*windows))
 
 
-def excerpts(docs: DataFrame, places: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def excerpts(docs: DataFrame, places: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Passages of each document that mention a place by name (3 characters or more), without case."""
     needle = F.lower(trimmed(F.col("name")))
     named = places.select("place_id", needle.alias("needle")).where(F.length("needle") >= 3)
     needles = named.select("needle").distinct()
-    pairs = _mentions(docs, needles, broadcast_chars)
+    pairs = _mentions(docs, needles, shard_chars)
     shown = pairs.withColumn("excerpt", F.array_join(excerpt_windows(F.col("text"), F.col("needle")), " […] "))
     return shown.drop("text").join(named, "needle").drop("needle")
 

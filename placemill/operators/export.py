@@ -18,9 +18,9 @@ def unique_names(df: DataFrame, keys: list[str], name: str = "name", ord_col: st
     return rows.withColumn(out, F.when(F.col("_nth") > 1, numbered).otherwise(F.col(name))).drop("_key", "_nth")
 
 
-def file_names(photos: DataFrame, per_place: int = dims.MAX_IMAGES_PER_PLACE) -> DataFrame:
-    """``base_name`` plus a two-digit number for the first pictures of each place."""
-    first = top_k(photos, ["place_id"], [F.col("ord")], per_place, out="n")
+def file_names(photos: DataFrame, per_place: int = dims.MAX_IMAGES_PER_PLACE, keys: tuple[str, ...] = ("place_id",)) -> DataFrame:
+    """``base_name`` plus a two-digit number for the first pictures of each place, counted per ``keys``."""
+    first = top_k(photos, list(keys), [F.col("ord")], per_place, out="n")
     number = F.when(F.col("n") < 10, F.concat(F.lit("0"), F.col("n").cast("string"))).otherwise(F.col("n").cast("string"))
     return first.withColumn("file_name", F.concat("base_name", F.lit("_"), number, F.lit(".jpeg")))
 
@@ -31,6 +31,7 @@ def export_manifest(
     """One row per file: a document and its pictures per place, a summary per city.
 
     ``places``: country, city, ord, place_id, osm_id, name; ``photos``: place_id, ord, url.
+    A city of more than ``max_places`` places is cut, and a row of kind ``note`` says so.
     """
     seg = lambda c, fallback: sanitize_path_segment(c, fallback, ascii_only=ascii_only)
     rows = top_k(places, ["country", "city"], [F.col("ord")], max_places, out="place_no")
@@ -41,14 +42,20 @@ def export_manifest(
     rows = rows.withColumn("folder", folder)
     head = ["country_dir", "city_dir", "place_id"]
     documents = rows.select(*head, F.lit("document").alias("kind"), F.concat("folder", F.lit("/"), "base_name", F.lit("_details.pdf")).alias("path"))
-    named = file_names(photos.where(allowed_image_url(F.col("url"))).join(rows.select(*head, "folder", "base_name"), "place_id"))
+    named = file_names(photos.where(allowed_image_url(F.col("url"))).join(rows.select(*head, "folder", "base_name"), "place_id"), keys=tuple(head))
     pictures = named.select(*head, F.lit("picture").alias("kind"), F.concat("folder", F.lit("/"), "file_name").alias("path"))
     per_city = rows.select("country_dir", "city_dir").distinct()
     summaries = per_city.select(
         "country_dir", "city_dir", F.lit(None).cast(places.schema["place_id"].dataType).alias("place_id"), F.lit("summary").alias("kind"),
         F.concat_ws("/", "country_dir", "city_dir", F.lit("_search-summary.pdf")).alias("path"),
     )
-    return documents.unionByName(pictures).unionByName(summaries)
+    over = places.groupBy("country", "city").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_places)
+    notes = over.select(
+        seg(F.col("country"), "Unknown Country").alias("country_dir"), seg(F.col("city"), "Unknown City").alias("city_dir"),
+        F.lit(None).cast(places.schema["place_id"].dataType).alias("place_id"), F.lit("note").alias("kind"),
+        F.format_string(f"Only the first {max_places} of %d places were included.", "n").alias("path"),
+    )
+    return documents.unionByName(pictures).unionByName(summaries).unionByName(notes)
 
 
 def summary_listing(places: DataFrame) -> DataFrame:

@@ -50,12 +50,20 @@ def title_stem(title: Column) -> Column:
 
 
 def dedupe_images(photos: DataFrame, keys: list[str]) -> DataFrame:
-    """First of each file, then first of each title stem longer than 8 characters."""
-    by_file = first_per(photos.withColumn("identity", image_identity(F.col("url"))), [*keys, "identity"], [F.col("ord")])
+    """First of each file, then first of each title stem longer than 8 characters.
+
+    First is by source where ``source_order`` tells it, then by ``ord``.
+    """
+    order = _arrival(photos)
+    by_file = first_per(photos.withColumn("identity", image_identity(F.col("url"))), [*keys, "identity"], order)
     by_file = by_file.withColumn("stem", title_stem(F.col("title")))
     # Short stems are no key: each row then stands for itself.
     own = F.when(F.length("stem") > 8, F.concat(F.lit("t"), "stem")).otherwise(F.concat(F.lit("i"), "identity"))
-    return first_per(by_file.withColumn("_stem", own), [*keys, "_stem"], [F.col("ord")]).drop("_stem")
+    return first_per(by_file.withColumn("_stem", own), [*keys, "_stem"], order).drop("_stem")
+
+
+def _arrival(photos: DataFrame) -> list[Column]:
+    return [F.col(c) for c in ("source_order", "ord") if c in photos.columns]
 
 
 def source_weight(source: Column) -> Column:
@@ -67,7 +75,7 @@ def rank_images(photos: DataFrame, keys: list[str], per_place: int = dims.IMAGES
     """Sharp pictures first, then the surer source, then the wider; at most ``per_place``."""
     width = F.coalesce("width", F.lit(0))
     ranked = photos.withColumn("hd", (width >= dims.HD_WIDTH).cast("int")).withColumn("weight", source_weight(F.col("source")))
-    order = [F.col("hd").desc(), F.col("weight").desc(), width.desc(), F.col("ord").asc()]
+    order = [F.col("hd").desc(), F.col("weight").desc(), width.desc(), *_arrival(photos)]
     return top_k(ranked, keys, order, min(per_place, dims.MAX_IMAGES_PER_PLACE), out="image_rank").drop("hd", "weight")
 
 
@@ -78,7 +86,7 @@ def claim_across_places(photos: DataFrame, keys: list[str]) -> DataFrame:
     owned = photos.where(explicit)
     claimed = owned.select(*keys, "identity").distinct()
     free = photos.where(~explicit).join(claimed, [*keys, "identity"], "left_anti")
-    return owned.unionByName(first_per(free, [*keys, "identity"], [F.col("place_rank"), F.col("ord")]))
+    return owned.unionByName(first_per(free, [*keys, "identity"], [F.col("place_rank"), *_arrival(photos)]))
 
 
 def waterfall_union(photos: DataFrame, per_place: int = dims.IMAGES_PER_PLACE) -> DataFrame:

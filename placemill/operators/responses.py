@@ -100,11 +100,18 @@ def final_name(enriched: Column, name: Column) -> Column:
     return readable_name(F.coalesce(enriched, F.lit("")), name)
 
 
-def translations(completions: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, number, name) of the usable, unrepeated answers of each numbered list."""
+def translations(completions: DataFrame, keys: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """(keys, number, name) of the usable, unrepeated answers of each numbered list.
+
+    ``sizes`` (keys, batch_size) bounds the numbers: one outside its batch answers
+    nothing, and repeats of its text do not count.
+    """
     rows = completions.select(*keys, F.posexplode(rs.parse_numbered_list(F.col("raw"))).alias("line", "e"))
     named = rows.select(*keys, "line", F.col("e.number").alias("number"), rs.translated_name(F.col("e.text")).alias("name"))
-    once = drop_collisions(named.where(F.col("name").isNotNull() & F.col("number").isNotNull()), keys)
+    named = named.where(F.col("name").isNotNull() & (F.col("number") >= 1))
+    if sizes is not None:
+        named = named.join(sizes, keys).where(F.col("number") <= F.col("batch_size")).drop("batch_size")
+    once = drop_collisions(named, keys)
     return once.groupBy(*keys, "number").agg(F.max_by("name", "line").alias("name"))
 
 

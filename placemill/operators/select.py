@@ -138,26 +138,27 @@ def classes_for(categories: DataFrame) -> DataFrame:
     return categories.join(F.broadcast(category_classes(categories.sparkSession)), "category")
 
 
-def subclass_closure(edges: DataFrame, max_depth: int = 200) -> DataFrame:
+def subclass_closure(edges: DataFrame) -> DataFrame:
     """(child, ancestor, depth) over any number of steps, shortest depth kept; cycles end by themselves."""
     edges = edges.select("child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct()
     frontier = cut(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
     closure = frontier
     step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("up"))
-    for depth in range(2, max_depth):
+    depth = 1
+    while True:
+        depth += 1
         grown = frontier.join(step, "ancestor").select("child", F.col("up").alias("ancestor")).distinct()
         frontier = cut(grown.join(closure, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return closure
-        closure = closure.unionByName(frontier)
-    raise RuntimeError("hierarchy deeper than max_depth")
+        closure = cut(closure.unionByName(frontier)) if depth % 16 == 0 else closure.unionByName(frontier)
 
 
 def instances_of(members: DataFrame, closure: DataFrame, classes: DataFrame) -> DataFrame:
     """(entity_id, category): entities whose type is a class of the category or lies below one."""
     direct = members.select("entity_id", F.col("type_id").alias("class_id"))
     above = members.join(closure, F.col("type_id") == F.col("child")).select("entity_id", F.col("ancestor").alias("class_id"))
-    return direct.unionByName(above).join(F.broadcast(classes), "class_id").select("entity_id", "category").distinct()
+    return direct.unionByName(above).join(classes, "class_id").select("entity_id", "category").distinct()
 
 
 def best_geocode(found: DataFrame) -> DataFrame:

@@ -195,16 +195,17 @@ def i50(spark, folder):
 
 
 @query("i46_parse_object", """
-select conv_id as batch_id, turn as pos, case when turn % 5 = 4 then null else 'Hall ' || turn end as overview, case when turn % 5 in (0, 1, 2) then 'https://x.example/' || turn end as link from conversations""")
+select conv_id as batch_id, turn as pos, case when turn % 6 = 4 then null else 'Hall ' || turn end as overview, case when turn % 6 in (0, 1, 2, 5) then 'https://x.example/' || turn end as link from conversations""")
 def i46(spark, folder):
-    """Plain objects, comments, trailing commas, a cut-off tail, and text without an object."""
+    """Plain objects, comments, trailing commas, a cut-off tail, text without an object, and a key given twice."""
     head = """'{"overview":"Hall ', turn, '"'"""
     link = """',"link":"https://x.example/', turn, '"'"""
     shapes = [
         f"concat({head}, {link}, '}}')", f"concat({head}, {link}, ', // note', char(10), '/* more */ }}')", f"concat('so: ', {head}, {link}, ',}} ok')",
         f"concat({head}, ',\"history\":\"cut off')", "'no object here'",
+        """concat('{"overview":"old","link":[1],"overview":"Hall ', turn, '"', ',"link":"https://x.example/', turn, '"}')""",
     ]
-    raw = "case turn % 5 " + " ".join(f"when {k} then {v}" for k, v in enumerate(shapes)) + " end"
+    raw = "case turn % 6 " + " ".join(f"when {k} then {v}" for k, v in enumerate(shapes)) + " end"
     rows = table(spark, folder, "conversations").select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("pos"), rs.parse_object(F.expr(raw)).alias("o"))
     return rows.select("batch_id", "pos", F.try_variant_get("o", "$.overview", "string").alias("overview"), F.try_variant_get("o", "$.link", "string").alias("link"))
 
@@ -535,13 +536,16 @@ def j1(spark, folder):
     return jobs.read_claims(spark, claims)
 
 
-@query("j2_dedupe_requests", using("cache_ops") + "select distinct cache_key from fx_cache_ops where op = 'get'")
+# The times of a key in order; one joins the passed ones when the last of them is six hours old.
+@query("j2_dedupe_requests", """
+with t as (select concat('u', user_id) as cache_key, list([epoch_us(ts::timestamp)] order by ts) as times from events where event_type = 'click' group by 1)
+select cache_key, unnest(list_reduce(times, lambda acc, x: case when x[1] - acc[-1] >= 21600000000 then list_concat(acc, x) else acc end)) as us from t""")
 def j2(spark, folder):
     requests = _stream(spark, folder, "events").where("event_type = 'click'").selectExpr("concat('u', user_id) as cache_key", "cast(ts as timestamp) as ts")
     out = fresh_path(spark, "passed")
     passed = jobs.dedupe_requests(requests)
     jobs.run_available(passed.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_path(spark, "checkpoint")))
-    return spark.read.schema("cache_key string, ts timestamp").parquet(out).select("cache_key").distinct()
+    return spark.read.schema(jobs.PASSED).parquet(out).select("cache_key", F.unix_micros("ts").alias("us"))
 
 
 def _progress_rows(df):

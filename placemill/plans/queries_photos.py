@@ -130,6 +130,17 @@ def d9(spark, folder):
     return photos.dedupe_images(sample(spark, folder, "photos"), ["place_id"]).select("place_id", "ord")
 
 
+# Three sources that hold the same files: the surer source comes first, whatever the order within each.
+@query("d9_dedupe_poured", PHOTOS + """
+, q as (select *, case ord % 3 when 0 then 8 when 1 then 0 else 2 end as so from p),
+a as (select * from (select *, row_number() over (partition by place_id, identity order by so, ord) as rn from q) where rn = 1),
+b as (select *, row_number() over (partition by place_id, case when length(stem) > 8 then 't' || stem else 'i' || identity end order by so, ord) as r2 from a)
+select place_id, ord, so as source_order from b where r2 = 1""")
+def d9_poured(spark, folder):
+    order = F.expr("case ord % 3 when 0 then 8 when 1 then 0 else 2 end")
+    return photos.dedupe_images(sample(spark, folder, "photos").withColumn("source_order", order), ["place_id"]).select("place_id", "ord", "source_order")
+
+
 @query("d10_claim_across_places", PHOTOS + """
 , q as (select *, replace(place_id, 'node/', '')::int as place_rank, source <> 'openverse' as explicit from p),
 f as (select *, row_number() over (partition by identity order by place_rank, ord) as rn from q where not explicit and identity not in (select identity from q where explicit))
@@ -163,6 +174,16 @@ def f4(spark, folder):
     return export.file_names(p).select("ord", "file_name")
 
 
+# One place in two cities: each has its own numbers and its own bound.
+@query("f4_file_names_by_city", PHOTOS + """
+, c as (select *, unnest(['A', 'B']) as city from p), r as (select place_id, ord, city, row_number() over (partition by city, place_id order by ord) as n from c)
+select ord, city, concat(replace(place_id, '/', '-'), '_', lpad(n::varchar, 2, '0'), '.jpeg') as file_name from r where n <= 24""")
+def f4_by_city(spark, folder):
+    p = sample(spark, folder, "photos").withColumn("base_name", F.replace("place_id", F.lit("/"), F.lit("-")))
+    p = p.withColumn("city", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    return export.file_names(p, keys=("city", "place_id")).select("ord", "city", "file_name")
+
+
 # Every source in turn: how many it has, how many it may add, what is then collected.
 _POUR = ", ".join(["s0 as (select place_id, 0 as total from (select distinct place_id from q))"] + [
     f"s{i + 1} as (select s.place_id, s.total + t as total, t from (select s{i}.place_id, s{i}.total, case when s{i}.total >= 10 then 0 else "

@@ -226,11 +226,11 @@ def i9(spark, folder):
 
 
 @query("i17_safe_website", using("rich") + """
-select ord, case p_site when 1 then website when 2 then 'https://' || website when 3 then null when 4 then null end as website
+select ord, case p_site when 1 then website when 2 then 'https://' || website when 3 then null when 4 then 'https://' || website end as website
 from (select *, case ord % 15 when 0 then 1 when 5 then 2 when 10 then 4 when 3 then 3 end as p_site from fx_rich)""")
 def i17(spark, folder):
-    # 'ftp://...' gets https:// in front and then fails as a host with an empty port and path.
-    return sample(spark, folder, "rich").select("ord", F.when(F.col("ord") % 15 != 10, tg.safe_website(F.col("website"))).alias("website"))
+    # 'ftp://...' has no known scheme, so https:// is put in front.
+    return sample(spark, folder, "rich").select("ord", tg.safe_website(F.col("website")).alias("website"))
 
 
 _ADDRESS = """array_to_string(list_filter([nullif(concat_ws(' ', housenumber, street), ''), suburb, addr_city], lambda x: x is not null), ', ')"""
@@ -252,13 +252,15 @@ select ord, case ord % 12 when 0 then 'https://de.wikipedia.org/wiki/' || url_en
   when 3 then 'https://fr.wikipedia.org/wiki/Tour_(x)!' end as article_url,
   case when wikidata is not null then 'https://www.wikidata.org/wiki/' || trim(wikidata) end as entity_url,
   'https://www.openstreetmap.org/' || osm_type || '/' || osm_id as osm_url,
-  'https://www.google.com/maps/search/?api=1&query=' || {_ENC.format(c="concat(coalesce(name_en, 'x'), ' ', osm_id, '.5,-67.25')")} as map_url from fx_rich""")
+  'https://www.google.com/maps/search/?api=1&query=' || {_ENC.format(c="concat(coalesce(name_en, 'x'), ' ', osm_id, case osm_id % 3 when 0 then '.5,-67.25' when 1 then ',-67' else '.25,0.00012' end)")} as map_url from fx_rich""")
 def i19(spark, folder):
+    """Coordinates with a fraction, whole ones, and one so small that a double is written with an exponent."""
     df = sample(spark, folder, "rich")
+    by_id = lambda *values: F.get(F.array(*[F.lit(v).cast("double") for v in values]), (F.col("osm_id") % 3).cast("int"))
     return df.select(
         "ord", tg.article_url(F.col("wikipedia")).alias("article_url"), tg.entity_url(F.col("wikidata")).alias("entity_url"),
         tg.osm_url(F.col("osm_type"), F.col("osm_id")).alias("osm_url"),
-        tg.map_url(F.coalesce("name_en", F.lit("x")), F.col("osm_id") + F.lit(0.5).cast("double"), F.lit(-67.25).cast("double")).alias("map_url"),
+        tg.map_url(F.coalesce("name_en", F.lit("x")), F.col("osm_id") + by_id(0.5, 0.0, 0.25), by_id(-67.25, -67.0, 0.00012)).alias("map_url"),
     )
 
 
@@ -511,12 +513,21 @@ def e10(spark, folder):
     return box.select("search_id", *[F.round(c, 6).alias(c) for c in ("south", "west", "north", "east")])
 
 
+def _folded(source: str) -> str:
+    """The fold's SQL over ``source``, its tables named after it."""
+    out = FOLD.replace(" from s)", f" from {source})")
+    for name in ("bits", "ordered", "folded", "merged", "deduped"):
+        out = out.replace(f"{name} as (", f"{source}_{name} as (").replace(f"from {name}", f"from {source}_{name}")
+    return out
+
+
 @query("e12_extra_source_gain", using("places") + f"""
-, s as ({SCORED}){FOLD}, f as (select search_id, count(distinct name_key) as k from s where source = 'overpass' group by 1)
-select search_id, (select count(*) from deduped d where d.search_id = s0.search_id) - count(*) filter (where source = 'overpass') as gain from s s0 group by search_id""")
+, s as ({SCORED}){FOLD}, f as (select * from s where source = 'overpass'){_folded("f")}
+select i.search_id, (select count(*) from deduped d where d.search_id = i.search_id) - (select count(*) from f_deduped d where d.search_id = i.search_id) as gain
+from (select distinct search_id from s) i""")
 def e12(spark, folder):
     raw = places_with_tags(spark, folder)
-    gain = quality.extra_source_gain(raw, resolve.dedupe_places(raw), raw.where("source = 'overpass'"))
+    gain = quality.extra_source_gain(raw, resolve.dedupe_places(raw), resolve.dedupe_places(raw.where("source = 'overpass'")))
     return gain.select("search_id", "gain")
 
 

@@ -71,12 +71,17 @@ def name_candidates(candidates: DataFrame, labels: DataFrame, answers: DataFrame
     cols = ["search_id", "ord", "id", "osm_type", "osm_id", "name", "lat", "lon", "tags", "category", "category_label", "source"]
     ordered = candidates.drop("ord").withColumn("ord", F.col("candidate_rank").cast("bigint"))
     named = content.apply_english_names(ordered.select(*cols), labels, answers)
-    again = resolve.dedupe_after_naming(named).drop("ord").withColumn("ord", F.col("first_ord"))
-    again = again.select(*cols)
+    again = renumbered(resolve.dedupe_after_naming(named), ["bucket_ord"]).select(*cols)
     if vectors is None:
         return again
     with_vectors = again.join(vectors.select("id", "vector"), "id", "left")
-    return resolve.semantic_dedupe(with_vectors, s.cosine).select(*cols)
+    return renumbered(resolve.semantic_dedupe(with_vectors, s.cosine)).select(*cols)
+
+
+def renumbered(merged: DataFrame, before: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """``ord`` anew after a merge: records keep the place of their first arrival, bucket by bucket where ``before`` says so."""
+    rows = number_rows(merged, ["search_id"], list(before), "first_ord", "_at")
+    return rows.drop("ord").withColumn("ord", F.col("_at").cast("bigint")).drop("_at")
 
 
 def run_searches(

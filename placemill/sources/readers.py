@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,11 +111,6 @@ def read_gazetteer_places(spark: SparkSession, path: str) -> DataFrame:
     return gazetteer_places(read_json(spark, path, schema.GAZETTEER_ROW))
 
 
-def plain_number(c: Column) -> Column:
-    """A double as people write it: no ``.0``."""
-    return F.regexp_replace(c.cast("string"), r"\.0$", "")
-
-
 def google_places(found: DataFrame, details: DataFrame) -> DataFrame:
     """Search rows with their optional details; details win. Rows without id, name or place drop out."""
     d = details.select(F.col("place_id").alias("_id"), F.struct(*[c for c in details.columns if c != "place_id"]).alias("d"))
@@ -128,7 +128,7 @@ def google_places(found: DataFrame, details: DataFrame) -> DataFrame:
     tags = tg.overlay(
         tg.tag_map(
             google_place_id=F.col("place_id"),
-            rating=F.concat(plain_number(rating), F.lit(" / 5 ("), count.cast("string"), F.lit(" reviews)")),
+            rating=F.concat(tg.plain_number(rating), F.lit(" / 5 ("), count.cast("string"), F.lit(" reviews)")),
             opening_hours=opt(hours), addr__full=opt(address), website=opt(F.col("d.website")),
             phone=opt(F.col("d.formatted_phone_number")),
         ),
@@ -137,7 +137,7 @@ def google_places(found: DataFrame, details: DataFrame) -> DataFrame:
             F.transform(F.array_distinct(typed), lambda _: F.lit("yes")),
         ),
     )
-    rated = F.concat(F.lit("Rated "), plain_number(rating), F.lit("/5 by "), count.cast("string"), F.lit(" Google reviewers."))
+    rated = F.concat(F.lit("Rated "), tg.plain_number(rating), F.lit("/5 by "), count.cast("string"), F.lit(" Google reviewers."))
     label = tg.label_from_types(kinds)
     address_link = F.concat(
         F.lit("https://www.google.com/maps/search/?api=1&query="), percent_encode(F.col("base")),
@@ -313,37 +313,41 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 # --- sheet of regions --------------------------------------------------------
 
+def _sheet_records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records of whole CSV files with all their cells; records without text are left out."""
+    csv.field_size_limit(2**31 - 1)
+    for frame in frames:
+        for text in frame["value"]:
+            rows = ([c.replace("\r", "").strip() for c in row] for row in csv.reader(io.StringIO(text, newline="")))
+            cells = [row for row in rows if any(row)]
+            yield pd.DataFrame({"first": [i == 0 for i in range(len(cells))], "cells": cells})
+
+
 def read_targets_sheet(spark: SparkSession, path: str) -> DataFrame:
     """Quoted, possibly multi-line CSV to rows (ord, country, city, province, attribute, path, cells, has_header).
 
-    Only the header row comes to the driver. ``cells`` holds the columns that may carry links.
+    Records may be wider than the header. Only the header row comes to the driver;
+    it is skipped where it opens a file, not where a later record repeats it.
+    ``cells`` holds the cells that may carry links. A quoted record can hold line
+    ends, so a file is read by one task.
     """
-    raw = (
-        spark.read.option("multiLine", True).option("escape", '"').option("header", False)
-        .option("maxColumns", 20480).csv(path)
-    )
-    names = raw.columns
-    filled = [F.coalesce(F.trim(F.replace(F.col(c), F.lit("\r"), F.lit(""))), F.lit("")) for c in names]
-    rows = raw.select(F.monotonically_increasing_id().alias("ord"), *[v.alias(c) for v, c in zip(filled, names)])
-    rows = rows.where(F.concat(*names) != "")
-    head = rows.orderBy("ord").limit(1).collect()
-    header = [head[0][c].strip().lower() for c in names] if head else []
+    rows = spark.read.text(path, wholetext=True).mapInPandas(_sheet_records, "first boolean, cells array<string>")
+    rows = rows.withColumn("ord", F.monotonically_increasing_id())
+    head = rows.where("first").orderBy("ord").limit(1).collect()
+    header = [c.lower() for c in head[0]["cells"]] if head else []
     at = locate_columns(header)
     has_header = any(at[k] is not None for k in ("country", "city", "province"))
     if has_header:
-        same = [F.lower(F.col(c)) == v for c, v in zip(names, header)]
-        is_header = same[0]
-        for s in same[1:]:
-            is_header = is_header & s
-        rows = rows.where(~is_header)
+        same = F.transform("cells", F.lower) == F.array(*map(F.lit, header))
+        rows = rows.where(~(F.col("first") & same))
     else:
-        at.update(country=0, city=1 if len(names) > 1 else None)
-    pick = lambda k: opt(F.col(names[at[k]])) if at[k] is not None else F.lit(None).cast("string")
-    links = [c for i, c in enumerate(names) if i not in (at["city"], at["province"])]
+        at.update(country=0, city=1)
+    pick = lambda k: opt(F.get("cells", F.lit(at[k]))) if at[k] is not None else F.lit(None).cast("string")
+    named = [at[k] for k in ("city", "province") if at[k] is not None]
+    links = F.filter("cells", lambda _, i: ~i.isin(named)) if named else F.col("cells")
     return rows.select(
         "ord", pick("country").alias("country"), pick("city").alias("city"), pick("province").alias("province"),
-        pick("attribute").alias("attributes"), pick("path").alias("path"),
-        F.array(*links).alias("cells"), F.lit(has_header).alias("has_header"),
+        pick("attribute").alias("attributes"), pick("path").alias("path"), links.alias("cells"), F.lit(has_header).alias("has_header"),
     )
 
 

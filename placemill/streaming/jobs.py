@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -24,11 +26,12 @@ FORGET_MS = 60_000
 
 def _table(spark: SparkSession, path: str, shape: str) -> DataFrame:
     """A folder of batches, readable before the first one exists."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+    try:
+        return spark.read.schema(shape).option("basePath", path).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], shape)
-    return spark.read.schema(shape).option("basePath", path).parquet(path)
 
 
 def _publish(df: DataFrame, path: str, batch_id: int) -> None:
@@ -49,9 +52,39 @@ def read_claims(spark: SparkSession, claims_path: str) -> DataFrame:
     return _table(spark, claims_path, CLAIMS).select("place_id", "region_ord")
 
 
+PASSED = "cache_key string, ts timestamp"
+
+
+def pass_requests(ttl: str):
+    """The requests of one key that pass, oldest first; the state is the time of the last one that did."""
+    span = pd.Timedelta(ttl) // pd.Timedelta(microseconds=1)
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        passed = []
+        for us in np.sort(np.concatenate([f["ts"].astype("datetime64[us]").astype("int64").to_numpy() for f in frames])).tolist():
+            if last is None or us - last >= span:
+                passed.append(us)
+                last = us
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"cache_key": [key[0]] * len(passed), "ts": pd.to_datetime(passed, unit="us")})
+
+    return step
+
+
 def dedupe_requests(requests: DataFrame, ttl: str = "6 hours") -> DataFrame:
-    """A request passes only when its key did not pass within ``ttl``; state expires with the watermark."""
-    return requests.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["cache_key"])
+    """A request passes when its key last passed ``ttl`` ago or longer, or never; (cache_key, ts) of those that do.
+
+    The requests of a key are taken in order of time within a micro-batch; one
+    that comes a batch late, behind the last passed one, does not pass. A key is
+    forgotten once the watermark is ``ttl`` past its last passed request.
+    """
+    rows = requests.select("cache_key", "ts").withWatermark("ts", ttl)
+    return rows.groupBy("cache_key").applyInPandasWithState(pass_requests(ttl), PASSED, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def newest_in_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

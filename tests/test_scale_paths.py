@@ -1,8 +1,10 @@
 """The paths taken by oversized groups must give what the small ones give."""
 
+import datetime
 import math
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -123,10 +125,10 @@ def test_similar_pairs_in_tiles(spark):
     assert keep(one) == keep(many) and one.count() > 0
 
 
-def test_anchor_join_equals_broadcast(spark):
+def test_mentions_in_shards(spark):
     docs = spark.createDataFrame([(1, "The Old Art Gallery and smart gallery park"), (2, "x"), (3, "ÉCOLE park")], "doc_id bigint, text string")
     places = spark.createDataFrame([(1, "art gallery"), (2, "PARK"), (3, "école"), (4, "zz"), (5, "the old art gallery and smart")], "place_id bigint, name string")
-    both = [rows_of(content.excerpts(docs, places, n).select("doc_id", "place_id", "excerpt")) for n in (10**6, 0)]
+    both = [rows_of(content.excerpts(docs, places, n).select("doc_id", "place_id", "excerpt")) for n in (10**6, 40)]
     assert both[0] == both[1] and len(both[0]) == 5
 
 
@@ -141,3 +143,24 @@ def test_claims_stream_in_batches_and_restart(spark, tmp_path):
     got = jobs.read_claims(spark, claims)
     want = resolve.claim_across_regions(found)
     assert rows_of(got.select("place_id", "region_ord")) == rows_of(want.select("place_id", "region_ord"))
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_requests_pass_again_after_their_time(spark, tmp_path, files):
+    """Repeats inside and outside the time to live, in one micro-batch or in several."""
+    rng = random.Random(2)
+    start = datetime.datetime(2026, 1, 1)
+    times = sorted((start + datetime.timedelta(minutes=rng.randrange(0, 5000)), rng.choice("abc")) for _ in range(120))
+    want, last = [], {}
+    for ts, key in times:
+        if key not in last or ts - last[key] >= datetime.timedelta(hours=6):
+            want.append((key, ts))
+            last[key] = ts
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(files):
+        part = times[n * len(times) // files : (n + 1) * len(times) // files]
+        spark.createDataFrame([(k, t) for t, k in part], "cache_key string, ts timestamp").coalesce(1).write.mode("append").parquet(source)
+        passed = jobs.dedupe_requests(spark.readStream.schema(jobs.PASSED).parquet(source))
+        jobs.run_available(passed.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")))
+    got = [(r.cache_key, r.ts) for r in spark.read.schema(jobs.PASSED).parquet(out).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 20
