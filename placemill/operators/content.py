@@ -278,7 +278,9 @@ def guard_article(df: DataFrame, section_chars: int | None = None) -> DataFrame:
     return out.withColumn("usable", (F.length("overview") >= 40) | (F.size("highlights") > 0)).drop("_items", *[f"_{s}" for s in sections])
 
 
+# Headings and notices.
 NO_TEXT = "No English-language description is available for this location."
+QUOTED = "The following is quoted directly from the sources listed for this place; no summary was generated for it."
 HEADINGS = [
     ("architecture", "Architecture & design"), ("context", "Significance"), ("highlights", "Highlights"),
     ("visiting", "Visiting"), ("practical", "Practical information"),
@@ -288,7 +290,8 @@ HEADINGS = [
 def article_sections(df: DataFrame, render=lambda c: c) -> DataFrame:
     """(place_id, pos, heading, body) of the sections that have something to say.
 
-    Needs the article columns, ``summary``, ``raw_name`` and ``display_name``.
+    Needs the article columns, ``summary``, ``raw_name`` and ``display_name``. Where
+    there is ``has_article``, a place without one gets its summary as the only section.
     """
     repaired = lambda c: tg.repair_summary(c, F.col("raw_name"), F.col("display_name"))
     readable = lambda c: F.when(has_readable_content(render(c)), c)
@@ -297,7 +300,7 @@ def article_sections(df: DataFrame, render=lambda c: c) -> DataFrame:
     rows = [(F.lit("Overview"), F.coalesce(readable(repaired(col("overview"))), readable(repaired(col("summary"))), F.lit(NO_TEXT)))]
     rows.append((
         F.when(quoted, "Background (source extract)").otherwise("History"),
-        F.when(quoted, repaired(col("history"))).otherwise(readable(repaired(col("history")))),
+        F.when(quoted, F.concat(F.lit(QUOTED + "\n"), repaired(col("history")))).otherwise(readable(repaired(col("history")))),
     ))
     for field, heading in HEADINGS:
         if field == "highlights":
@@ -307,6 +310,9 @@ def article_sections(df: DataFrame, render=lambda c: c) -> DataFrame:
             body = readable(repaired(col(field)))
         rows.append((F.lit(heading), body))
     listed = F.array(*[F.struct(h.alias("heading"), b.alias("body")) for h, b in rows])
+    if "has_article" in df.columns:
+        plain = F.coalesce(readable(repaired(col("summary"))), F.lit(NO_TEXT))
+        listed = F.when(F.col("has_article"), listed).otherwise(F.array(F.struct(F.lit("Description").alias("heading"), plain.alias("body"))))
     return (
         df.select("place_id", F.posexplode(listed).alias("pos", "s"))
         .select("place_id", "pos", "s.heading", "s.body").where(opt(F.col("body")).isNotNull())

@@ -76,7 +76,9 @@ def rank_images(photos: DataFrame, keys: list[str], per_place: int = dims.IMAGES
     width = F.coalesce("width", F.lit(0))
     ranked = photos.withColumn("hd", (width >= dims.HD_WIDTH).cast("int")).withColumn("weight", source_weight(F.col("source")))
     order = [F.col("hd").desc(), F.col("weight").desc(), width.desc(), *_arrival(photos)]
-    return top_k(ranked, keys, order, min(per_place, dims.MAX_IMAGES_PER_PLACE), out="image_rank").drop("hd", "weight")
+    if per_place > dims.MAX_IMAGES_PER_PLACE:
+        raise ValueError(f"at most {dims.MAX_IMAGES_PER_PLACE} pictures per place")
+    return top_k(ranked, keys, order, per_place, out="image_rank").drop("hd", "weight")
 
 
 def claim_across_places(photos: DataFrame, keys: list[str]) -> DataFrame:
@@ -137,7 +139,9 @@ def photos_near(places: DataFrame, photos: DataFrame, km: float = 1.0) -> DataFr
     Cosines are taken once per row and side; pairs fail on the squared half-chord
     before the arc is computed.
     """
-    metres = min(round(km * 1000), 10_000)
+    metres = round(km * 1000)
+    if metres > 10_000:
+        raise ValueError("the radius is 10 km at most")
     row = geo.lat_cell(F.col("lat"), metres)
     placed = places.select(
         "place_id", F.radians("lat").alias("_lat"), F.radians("lon").alias("_lon"), F.cos(F.radians("lat")).alias("_cos"),

@@ -31,7 +31,7 @@ def _searches(spark, folder):
 
 def _run(spark, folder):
     entities = readers.entity_places(table(spark, folder, "part").selectExpr(*_ENTITY), F.lit("Place"), F.lit("custom"))
-    gazetteer = readers.gazetteer_places(_gazetteer_rows(spark, folder)).where("search_id < 5")
+    gazetteer = readers.gazetteer_places(_gazetteer_rows(spark, folder))
     photos = sample(spark, folder, "photos")
     return search.run_searches(
         _searches(spark, folder), rich_elements(spark, folder), entities, gazetteer, sample(spark, folder, "labels_of"),

@@ -253,12 +253,13 @@ def m7(spark, folder):
 , r as (select doc_id as place_id, unnest([
   struct_pack(pos := 0, heading := 'Overview', body := case when regexp_matches(overview, '[A-Za-z][^A-Za-z]*[A-Za-z]') or regexp_matches(overview, '[0-9]{4}') then overview else 'No English-language description is available for this location.' end),
   struct_pack(pos := 1, heading := case when llm_generated <> 1 and coalesce(history, '') <> '' then 'Background (source extract)' else 'History' end,
-    body := case when (llm_generated <> 1 and coalesce(history, '') <> '') or regexp_matches(history, '[A-Za-z][^A-Za-z]*[A-Za-z]') or regexp_matches(history, '[0-9]{4}') then history end),
-  struct_pack(pos := 5, heading := 'Visiting', body := case when regexp_matches(visiting, '[A-Za-z][^A-Za-z]*[A-Za-z]') or regexp_matches(visiting, '[0-9]{4}') then visiting end)], recursive := true) from fx_articles)
+    body := case when llm_generated <> 1 and coalesce(history, '') <> '' then 'The following is quoted directly from the sources listed for this place; no summary was generated for it.' || chr(10) || history when regexp_matches(history, '[A-Za-z][^A-Za-z]*[A-Za-z]') or regexp_matches(history, '[0-9]{4}') then history end),
+  struct_pack(pos := 5, heading := 'Visiting', body := case when regexp_matches(visiting, '[A-Za-z][^A-Za-z]*[A-Za-z]') or regexp_matches(visiting, '[0-9]{4}') then visiting end)], recursive := true) from fx_articles where doc_id % 7 <> 0
+  union all select doc_id, 0, 'Description', 'No English-language description is available for this location.' from fx_articles where doc_id % 7 = 0)
 select place_id, pos, heading, md5(body) as body from r where coalesce(body, '') <> ''""")
 def m10(spark, folder):
     df = sample(spark, folder, "articles").withColumn("place_id", F.col("doc_id")).withColumn("llm_generated", F.col("llm_generated") == 1)
-    df = df.withColumn("summary", F.lit("")).withColumn("raw_name", F.lit("")).withColumn("display_name", F.lit("Hall"))
+    df = df.withColumn("summary", F.lit("")).withColumn("raw_name", F.lit("")).withColumn("display_name", F.lit("Hall")).withColumn("has_article", F.col("doc_id") % 7 != 0)
     return content.article_sections(df).select("place_id", "pos", "heading", F.md5("body").alias("body"))
 
 

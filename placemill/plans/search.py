@@ -60,6 +60,7 @@ def candidates_of(searches: DataFrame, elements: DataFrame, entities: DataFrame,
     Selectors test the raw elements, whose tags are a plain column, before names are derived.
     """
     asked = select.resolve_keyword(searches.select("search_id", "keyword"))
+    entities, gazetteer = (df.join(searches.select("search_id"), "search_id", "left_semi") for df in (entities, gazetteer))
     wanted = cut(select.select_candidates(elements, asked))  # stored: the long filter is planned once
     osm = osm_places(wanted, F.col("label"), F.coalesce(F.try_element_at("categories", F.lit(1)), F.lit("custom")))
     found = union_discovered(osm, entities, gazetteer, s.limit)

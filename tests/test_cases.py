@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from placemill import dims
 from placemill.functions import hours as hr, responses as rs, tags as tg, text as tx
 from placemill.operators import links
+from placemill.operators.content import apply_english_names
 from placemill.operators.export import export_manifest
+from placemill.operators.responses import translations
 from placemill.sources.readers import locate_columns, read_targets_sheet
 
 HOURS = [
-    ("A lighthouse on the western pier. Visitors enter Wednesday to Sunday from 11:30 to 15:45.", "Mo-Tu 11:30-15:45", "A lighthouse on the western pier."),
+    ("A lighthouse on the western pier. Open Wednesday to Sunday from 11:30 to 15:45.", "Mo-Tu 11:30-15:45", "A lighthouse on the western pier."),
     ("The old mill grinds flour. Open Saturday to Sunday.", None, "The old mill grinds flour."),
     ("Glassworks with a shop. Open daily from 07:15 to 12:40.", "07:15-12:40", "Glassworks with a shop. Open daily from 07:15 to 12:40."),
     ("A reading room. Open Tuesday to Thursday from 13:00 to 18:30.", "Tu-Th 13:00-18:30", "A reading room. Open Tuesday to Thursday from 13:00 to 18:30."),
@@ -148,3 +150,22 @@ def test_html_and_names(spark):
     assert one.select(tx.is_mostly_non_latin(F.lit("北京 Bell"))).first()[0] is True
     assert one.select(tg.format_time(F.lit("-0044-03-15T00:00:00Z"))).first()[0] == "44-03-15 BC"
     assert one.select(tx.sanitize_path_segment(F.lit("../../etc/passwd"))).first()[0] == "etc passwd"
+
+
+def test_stored_translations(spark):
+    """Repeats within a batch drop out; numbers outside it answer nothing and repeat nothing."""
+    raw = "1. Old Tower\n2. River Gate\n3) river gate\n9. Old Tower\n4. North Hall"
+    rows = spark.createDataFrame([(1, raw)], "batch_id int, raw string")
+    sizes = spark.createDataFrame([(1, 4)], "batch_id int, batch_size int")
+    got = {r.number: r.name for r in translations(rows, ["batch_id"], sizes).collect()}
+    assert got == {1: "Old Tower", 4: "North Hall"}
+
+
+def test_names_from_labels_then_answers(spark):
+    places = spark.createDataFrame(
+        [(1, 1, "塔塔", {"wikidata": "Q1"}), (1, 2, "塔塔", {"wikidata": "Q2"}), (1, 3, "塔塔", {}), (1, 4, "Plain", {"wikidata": "Q1"})],
+        "search_id int, ord int, name string, tags map<string,string>")
+    labels = spark.createDataFrame([("Q1", "Pagoda", None), ("Q2", "塔", "塔")], "entity_id string, label string, alias string")
+    answers = spark.createDataFrame([(1, 1, "No"), (1, 2, "Second Tower"), (1, 4, "No")], "search_id int, ord int, name string")
+    rows = {r.ord: (r.name, r.tags.get("name:local"), r.translated) for r in apply_english_names(places, labels, answers).collect()}
+    assert rows == {1: ("Pagoda", "塔塔", True), 2: ("Second Tower", "塔塔", True), 3: ("塔塔", None, False), 4: ("Plain", None, False)}
