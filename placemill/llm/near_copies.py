@@ -228,7 +228,8 @@ def link_rows(rows: DataFrame, n: int, threshold: float, recall: float) -> DataF
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("texts"), F.sum("grams").alias("total"))
     blocks = sizes.select("component", F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("total") / BLOCK_GRAMS)).cast("bigint").alias("blocks"))
     placed = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64(ROW), F.col("blocks")))
-    placed = rows.select(ROW, "text").join(placed, ROW)
+    # A merge join at every size: the texts move once, however few rows small tables leave on the other side.
+    placed = rows.select(ROW, "text").join(placed.hint("merge"), ROW)
     # Each text goes to the pairs of blocks that its own is part of; to a block with itself once.
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("bigint").alias("side"), ROW, "copies", "text"
@@ -274,4 +275,4 @@ def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float
     """The rows of ``docs`` without those linked, near or far, to a row of smaller id: one row of each group stays."""
     rows = packed(docs)
     gone = link_rows(rows.select(ROW, "whole.doc_id", "whole.text"), n, threshold, recall).where("not keeps").select(ROW)
-    return rows.join(gone, ROW, "left_anti").select("whole.*")
+    return rows.join(gone.hint("merge"), ROW, "left_anti").select("whole.*")

@@ -21,9 +21,61 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def register(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+def register(fn=None, sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add if fn is None else add(fn)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+# Every text against every template, by the sets of all their five-word runs.
+LICENSES_SQL = f"""
+with t as (select * from (values {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in sorted(licences.TEMPLATES.items()))}) as v(license, text)),
+tw as (select license, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from t),
+ts as (select distinct license, array_to_string(w[i + 1:i + 5], ' ') as s from (select license, w, unnest(range(0, len(w) - 4)) as i from tw)),
+tn as (select license, count(*) as n from ts group by 1),
+dw as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as w from documents),
+ds as (select doc_id, i, array_to_string(w[i + 1:i + 5], ' ') as s from (select doc_id, w, unnest(range(0, len(w) - 4)) as i from dw where len(w) >= 5)),
+m as (select doc_id, license, count(distinct s) as k, min(i) as first_word, max(i) + 4 as last_word from ds join ts using (s) group by 1, 2)
+select doc_id, license, k / n::double as containment, first_word, last_word from m join tn using (license) where k >= 0.8 * n"""
+
+
+def _seed(mask: str, number: int) -> str:
+    return f"concat_ws(' ', '{number}', " + ", ".join(f"w[p + {i + 1}]" for i, c in enumerate(mask) if c == "1") + ")"
+
+
+def _seeds(table: str, key: str) -> str:
+    masks = enumerate(decontaminate.MASKS)
+    return " union all ".join(f"select {key}, p, {_seed(m, i)} as s from (select {key}, w, unnest(range(0, len(w) - {len(m) - 1})) as p from {table} where len(w) >= {len(m)})" for i, m in masks)
+
+
+# Alignments from equal words under a mask, then all words along each of them.
+SEEDS_SQL = f"""
+with dw as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '') as w from documents),
+iw as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '') as w from benchmark),
+iw8 as (select * from iw where len(w) >= {decontaminate.LEAST}),
+ds as ({_seeds("dw", "doc_id")}), its as ({_seeds("iw8", "item_id")}),
+a as (select distinct doc_id, item_id, ds.p - its.p as shift from ds join its using (s)),
+c as (select a.doc_id, a.item_id, len(iw8.w) as n_words, len(list_filter(range(0, len(iw8.w)), lambda k: k + shift >= 0 and k + shift < len(dw.w) and dw.w[k + shift + 1] = iw8.w[k + 1])) as n_match
+  from a join dw on dw.doc_id = a.doc_id join iw8 on iw8.item_id = a.item_id)
+select doc_id, item_id, max(n_match) as n_match, max(n_words) as n_words, count(*) as n_places from c
+where n_match >= ceil({decontaminate.SHARE} * n_words) and n_match >= {decontaminate.LEAST} group by 1, 2"""
+
+LINES_SQL = """
+with l as (select doc_id, text, pieces, unnest(range(0, len(pieces))) as pos from (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as pieces from documents)),
+u as (select doc_id, text, pos, pieces[pos + 1] as line, trim(regexp_replace(lower(pieces[pos + 1]), '\\s+', ' ', 'g')) as unit from l),
+n as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as start,
+  row_number() over (partition by unit order by doc_id, pos) as rn from u),
+r as (select *, unit <> '' and rn > 1 as cut from n)
+select doc_id, coalesce(string_agg(case when not cut then line end, chr(10) order by pos), '') as text, count(*) as n_units, count(*) filter (where cut) as n_removed,
+  coalesce(string_agg(case when cut then concat(start, ':', start + length(line)) end, ',' order by pos), '') as removed from r group by doc_id"""
 
 
 @register
@@ -45,7 +97,7 @@ def op3_prefix_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_chars", digest, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-@register
+@register(sql=LICENSES_SQL)
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.license_scan(read(spark, folder, "documents"))
 
@@ -70,7 +122,7 @@ def op7_quality_network(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@register
+@register(sql=SEEDS_SQL)
 def op8_spaced_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -85,6 +137,8 @@ def op9_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@register
+@register(sql=LINES_SQL)
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.deduplicate(read(spark, folder, "documents"))
+    out = lines.deduplicate(read(spark, folder, "documents"))
+    spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return out.withColumn("removed", spans)
