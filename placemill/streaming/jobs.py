@@ -1,7 +1,8 @@
 """Structured Streaming jobs: claims, request filtering, latest stages, run counters.
 
-Every sink writes one folder per micro-batch, so a replayed batch overwrites
-itself, and reads only the folders of earlier batches.
+Counters write one folder per micro-batch, so a replayed batch overwrites itself,
+and read only the folder of the batch before; the other jobs keep their memory in
+keyed state and write through the file sink, which takes each batch once.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from placemill.operators.quality import progress_totals
-from placemill.operators.resolve import claim_across_regions
 
-CLAIMS = "place_id bigint, region_ord bigint, batch_id bigint"
+CLAIMS = "place_id bigint, region_ord bigint"
 FINISHED = ("done", "failed")
 FORGET_MS = 60_000
 
@@ -38,14 +38,28 @@ def _publish(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def resolve_stream(found: DataFrame, claims_path: str, checkpoint: str) -> DataStreamWriter:
-    """Each micro-batch claims only places no earlier batch claimed; ``found``: place_id, region_ord."""
+def first_region(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The smallest region per place leaves a map task, so a place found everywhere reaches its state as a few rows."""
+    for frame in frames:
+        yield frame.groupby("place_id", as_index=False)["region_ord"].min()
+
+
+def claim_once(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first micro-batch that finds a place claims it, for the smallest region; later ones find it taken."""
+    if not state.exists:
+        best = min(int(f["region_ord"].min()) for f in frames)
+        state.update((best,))
+        yield pd.DataFrame({"place_id": [key[0]], "region_ord": [best]})
 
-    def claim(batch: DataFrame, batch_id: int) -> None:
-        earlier = _table(batch.sparkSession, claims_path, CLAIMS).where(F.col("batch_id") < batch_id)
-        _publish(claim_across_regions(batch, earlier), claims_path, batch_id)
 
-    return found.writeStream.foreachBatch(claim).option("checkpointLocation", checkpoint)
+def resolve_stream(found: DataFrame, claims_path: str, checkpoint: str) -> DataStreamWriter:
+    """Each micro-batch claims only places no earlier batch claimed; ``found``: place_id, region_ord.
+
+    The state holds one number per place; claims already written are never read again.
+    """
+    slim = found.select("place_id", "region_ord").mapInPandas(first_region, CLAIMS)
+    claimed = slim.groupBy("place_id").applyInPandasWithState(claim_once, CLAIMS, "region_ord bigint", "append", GroupStateTimeout.NoTimeout)
+    return claimed.writeStream.format("parquet").option("path", claims_path).option("checkpointLocation", checkpoint)
 
 
 def read_claims(spark: SparkSession, claims_path: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Every registered query against DuckDB on the smallest tables."""
+"""Every query of the library against DuckDB on the smallest tables."""
 
 import pytest
 
 import __spark_entry__ as entry
 from oracle import compare, connect
+from placemill.plans.registry import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,9 +14,9 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    ok, message = compare(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
+    ok, message = compare(spark, con, FOLDER, name, QUERIES[name], ORACLES.get(name))
     assert ok, message
 
 
