@@ -10,11 +10,12 @@ import zlib
 
 import numpy as np
 import pytest
+from oracle import compare, connect
 from pyspark.sql import functions as F
 
 from placemill.llm import bpe, decontaminate, lattice, licences, lines, near_copies, personal_data, prefix_hash, quality, toxicity
 from placemill.llm.common import fold, read
-from placemill.llm.queries import QUERIES, word_bpe
+from placemill.llm.queries import ORACLES, QUERIES, word_bpe
 
 FOLDER = "/root/testdata/sf0.001"
 SHAPE = "doc_id bigint, text string, lang string, source string, n_chars bigint, _row bigint, whole string, score double, word string, n bigint, component bigint"
@@ -397,6 +398,12 @@ def test_lines_against_brute_force(spark, tmp_path, unit, mark):
         assert (r.text, [tuple(x) for x in r.removed], r.n_units) == want[r.doc_id] and r.n_removed == len(r.removed)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
+    ok, message = compare(spark, connect(FOLDER), FOLDER, name, QUERIES[name], ORACLES[name])
+    assert ok, message
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
