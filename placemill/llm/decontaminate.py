@@ -8,17 +8,22 @@ words are then compared with the text's along it, substitutions and all.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemill.llm.common import ROW, once, packed
 
-# Six words each; between them they leave out every offset but the first and last.
-MASKS = ("11011011", "111001011")
+# Every alignment with SHARE of an item's words, LEAST or more, has hits of these (``sure_hits``), wherever the others stand.
+MASKS = ("111", "1101")
 SHARE = 0.6
 LEAST = 8
 # Test hashes up to this many (about 100 MB as a hash table) are sent to every task; more are joined by a shuffle.
 BROADCAST_HASHES = 1_000_000
+# Up to this length sure hits are counted out; a longer item has a stretch of half to all of it with its share of equal words.
+COUNTED = 500
 
 
 def words_of(text: Column) -> Column:
@@ -34,6 +39,36 @@ def seed_hashes(hashes: Column, mask: str, number: int) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<bigint>"))
 
 
+def sure_hits(share: float, least: int, masks: tuple[str, ...], longest: int = COUNTED) -> list[int]:
+    """For items of 0, 1, ... words: the fewest hits of any alignment in which ``share`` of the words are equal, ``least`` at least.
+
+    Dynamic programming over the words, by the last words' equality and the number of equal ones.
+    """
+    span = max(map(len, masks))
+    after = np.arange(1 << span)
+    hits = sum(((after & int(m, 2)) == int(m, 2)).astype(np.int64) for m in masks)
+    never = 1 << 40
+    fewest = np.full((1 << (span - 1), longest + 2), never)
+    fewest[0, 0] = 0
+    out = [0]
+    for n in range(1, longest + 1):
+        new = np.full_like(fewest, never)
+        for w in after:
+            old, bit = fewest[w >> 1], w & 1
+            to = new[w & ((1 << (span - 1)) - 1)]
+            np.minimum(to[bit:], old[: old.size - bit] + hits[w], out=to[bit:])
+        fewest = new
+        lowest = int(fewest[:, max(least, math.ceil(share * n)) :].min(initial=never))
+        out.append(0 if lowest >= never else lowest)
+    return out
+
+
+def _hits_needed(n_words: Column, share: float, least: int, masks: tuple[str, ...]) -> Column:
+    """Hits below which no alignment can be an occurrence; one at least, as nothing else is retrieved."""
+    sure = [max(1, x) for x in sure_hits(share, least, masks)]
+    return F.coalesce(F.get(F.array(*map(F.lit, sure)), n_words), F.lit(min(sure[COUNTED // 2 :])))
+
+
 def _seeds(rows: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
     """(keep..., pos, seed): one line for each mask and position; ``hashes`` are the word hashes."""
     all_ = F.array(*[seed_hashes(F.col("hashes"), m, i) for i, m in enumerate(masks)])
@@ -52,18 +87,23 @@ def overlaps(docs: DataFrame, tests: DataFrame, share: float = SHARE, least: int
 
     ``n_match`` of the item's ``n_words`` words stand in the text where the alignment
     puts them; at least ``share`` of them must, and at least ``least`` words. Items of
-    fewer than ``least`` words, or shorter than all masks, are not looked for. Null
-    and empty texts and items match nothing; rows with equal ids are separate.
-    Hits of shared seeds are cut down to distinct alignments before any text moves.
+    fewer than ``least`` words, or shorter than all masks, are not looked for. With
+    the default masks no occurrence is missed; with others, or a smaller share, those
+    are for which ``sure_hits`` is 0 and no mask happens to fit. Null and empty texts
+    and items match nothing; rows with equal ids are separate. Hits of shared seeds
+    are counted by alignment, and those with too few for an occurrence dropped,
+    before any text moves.
     """
     items = tests.select("item_id", F.transform(words_of(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w)).alias("hashes"))
     items = items.where(F.size("hashes") >= max(least, min(map(len, masks)))).withColumn("key", F.xxhash64("item_id", "hashes"))
     rows = once(docs.select(ROW, "text"), "hashes", F.transform(words_of(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w)))
-    seeds = _seeds(items.select("key", "hashes").dropDuplicates(["key"]), ["key"], masks).withColumnRenamed("pos", "item_pos")
+    needed = _hits_needed(F.size("hashes"), share, least, masks).alias("needed")
+    seeds = _seeds(items.select("key", "hashes", needed).dropDuplicates(["key"]), ["key", "needed"], masks).withColumnRenamed("pos", "item_pos")
     small = seeds.count() <= BROADCAST_HASHES
     seeds = F.broadcast(seeds) if small else seeds
     hits = _seeds(rows.select(ROW, "hashes"), [ROW], masks).join(seeds, "seed")
-    aligned = hits.select(ROW, "key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    counted = hits.groupBy(ROW, "key", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"))
+    aligned = counted.where(F.col("n") >= F.col("needed")).select(ROW, "key", "shift")
     wanted = items.select("key", F.col("item_id"), F.col("hashes").alias("item"))
     wanted = F.broadcast(wanted) if small else wanted
     # Texts meet their alignments as texts: hashes of all words would be twice as much to shuffle.

@@ -337,6 +337,32 @@ def test_spaced_seeds_against_all_alignments(spark, tmp_path, monkeypatch, limit
     assert kept == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_spaced_seeds_miss_no_alignment(spark, tmp_path):
+    """Against all alignments, without any masks: regular and random substitutions down to the share of equal words."""
+    assert all(decontaminate.sure_hits(decontaminate.SHARE, decontaminate.LEAST, decontaminate.MASKS)[decontaminate.LEAST :])
+    for n in range(1, 13):
+        fewest = min((sum(all(s[p + o] for o, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for p in range(n - len(m) + 1))
+                      for s in itertools.product((0, 1), repeat=n) if sum(s) >= max(5, math.ceil(0.6 * n))), default=0)
+        assert decontaminate.sure_hits(0.6, 5, decontaminate.MASKS)[n] == fewest
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("klmnop") for _ in range(4))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([8, 9, 12, 13, 15, 16, 20, 25, 40, 59, 700])]
+    docs = []
+    for _, text in items:
+        n = len(text.split())
+        most = n - max(decontaminate.LEAST, math.ceil(decontaminate.SHARE * n))
+        gone = [set(range(k, n, 4)) for k in range(4)] + [{x for x in range(n) if x % 5 in k} for k in ((0, 2), (1, 4), (2, 3))]
+        gone += [set(rng.sample(range(n), k)) for k in (most, most, most, most + 1)]
+        for g in gone:
+            ws = [word() if x in g else w for x, w in enumerate(text.split())]
+            docs.append((len(docs), " ".join([word() for _ in range(rng.randrange(9))] + ws + [word() for _ in range(rng.randrange(9))])))
+    path = str(tmp_path / "d")
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(path)
+    got = decontaminate.contamination(spark.read.parquet(path), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = brute_alignments(docs, items, decontaminate.SHARE, decontaminate.LEAST, ("1",))
+    assert {(r.doc_id, r.item_id): r.n_match for r in got} == want and len(want) > 60
+
+
 def brute_spans(text):
     luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
     digits = lambda m: re.sub("[^0-9]", "", m.group())
