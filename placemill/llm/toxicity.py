@@ -1,9 +1,9 @@
 """Toxicity classifier, regularised with counterfactuals.
 
 A linear model over the words present in a text. Labelled texts that name a group
-of people are also taken with the group's name swapped for others of its kind; the
-loss adds the squared change of the score between a text and its swaps, so that
-naming a group as such moves no score.
+of people are also taken with the group's name swapped for others of its kind, the
+name's beginnings with it; the loss adds the squared change of the score between a
+text and its swaps, so that naming a group as such moves no score.
 """
 
 from __future__ import annotations
@@ -46,7 +46,10 @@ IDENTITY_TERMS = (
 
 def words_in(text: str) -> set[str]:
     """The words present, and their beginnings of three to six letters (marked ``*``), for languages that put endings on words."""
-    words = set(WORD.findall(text.lower()))
+    return with_beginnings(set(WORD.findall(text.lower())))
+
+
+def with_beginnings(words: set[str]) -> set[str]:
     return words.union(*[[w[:n] + "*" for w in words if len(w) > n] for n in STEMS])
 
 
@@ -112,19 +115,30 @@ class LinearModel:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def swaps(present: list[int], index: dict[str, int]) -> list[list[int]]:
-    """For each kind of group named: the same words with its names replaced by each other name of the kind."""
-    here, out = set(present), []
+def swaps(words: set[str], index: dict[str, int]) -> list[list[int]]:
+    """For each kind of group named and each other name of the kind: what changes when it replaces the text's names.
+
+    ``words`` are all whole words of the text. i + 1 stands for a feature i that comes,
+    -(i + 1) for one that goes; beginnings that other words bring as well stay.
+    """
+    out = []
     for kind in IDENTITY_TERMS:
-        ids = [index[w] for w in kind if w in index]
-        named = here.intersection(ids)
+        names = [w for w in kind if w in index]
+        named = words.intersection(names)
         if named:
-            out += [sorted((here - named) | {other}) for other in ids if {other} != named]
+            rest, old = with_beginnings(words - named), with_beginnings(named)
+            for other in names:
+                if {other} != named:
+                    new = with_beginnings({other})
+                    out.append([index[w] + 1 for w in sorted(new - old - rest) if w in index] + [-index[w] - 1 for w in sorted(old - new - rest) if w in index])
     return out
 
 
-def fit(rows: list[tuple[list[int], float]], words: list[str], evenness: float = 1.0, decay: float = 2e-5, steps: int = 250) -> LinearModel:
-    """Logistic loss, plus ``evenness`` times the mean squared change of the logit under swaps, plus weight decay; Adam."""
+def fit(rows: list[tuple[list[int], float]], words: list[str], evenness: float = 1.0, decay: float = 2e-5, steps: int = 250, changes: list[list[list[int]]] | None = None) -> LinearModel:
+    """Logistic loss, plus ``evenness`` times the mean squared change of the logit under swaps, plus weight decay; Adam.
+
+    ``changes`` are the ``swaps`` of each row's text; without them those of its known words are taken.
+    """
     size = len(words)
     index = {w: i for i, w in enumerate(words)}
     y = np.array([label for _, label in rows])
@@ -135,15 +149,12 @@ def fit(rows: list[tuple[list[int], float]], words: list[str], evenness: float =
     flat = np.array([i for ids, _ in rows for i in ids], dtype=np.int64)
     who = np.repeat(np.arange(len(rows)), [len(ids) for ids, _ in rows])
     # A swap's change of score is the sum of a few weights: those that come less those that go.
-    delta_flat, delta_sign, delta_who, pairs = [], [], [], 0
-    for ids, _ in rows:
-        for other in swaps(ids, index):
-            for i, s in [(i, 1.0) for i in set(other) - set(ids)] + [(i, -1.0) for i in set(ids) - set(other)]:
-                delta_flat.append(i)
-                delta_sign.append(s)
-                delta_who.append(pairs)
-            pairs += 1
-    d_flat, d_sign, d_who = np.array(delta_flat, dtype=np.int64), np.array(delta_sign), np.array(delta_who, dtype=np.int64)
+    if changes is None:
+        changes = [swaps({words[i] for i in ids}, index) for ids, _ in rows]
+    moved = [c for row in changes for c in row]
+    pairs = len(moved)
+    signed = np.array([i for c in moved for i in c], dtype=np.int64)
+    d_flat, d_sign, d_who = np.abs(signed) - 1, np.sign(signed).astype(float), np.repeat(np.arange(pairs), [len(c) for c in moved])
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         z = np.bincount(who, weights=weights[flat], minlength=len(rows)) + bias
@@ -168,11 +179,15 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, eve
         model = LinearModel(shared.value, np.zeros(0), 0.0)
         for batch in batches:
             ids = [np.array(sorted(model.present(t.as_py())), dtype=np.int32).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.binary())], names=["doc_id", "label", "ids"])
+            changes = [swaps(set(WORD.findall(t.as_py().lower())), model.index) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(ids, pa.binary()), pa.array(changes, pa.list_(pa.list_(pa.int32())))], names=["doc_id", "label", "ids", "changes"]
+            )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.select("doc_id", "text", "label").mapInArrow(present, f"doc_id {kind}, label double, ids binary").orderBy("doc_id", "ids").toPandas()
-    return fit([(np.frombuffer(bytes(b), dtype=np.int32).tolist(), float(y)) for b, y in zip(got["ids"], got["label"])], words, evenness)
+    got = rows.select("doc_id", "text", "label").mapInArrow(present, f"doc_id {kind}, label double, ids binary, changes array<array<int>>").orderBy("doc_id", "ids", "changes").toArrow()
+    fitted = [(np.frombuffer(b, dtype=np.int32).tolist(), float(y)) for b, y in zip(got["ids"].to_pylist(), got["label"].to_pylist())]
+    return fit(fitted, words, evenness, changes=got["changes"].to_pylist())
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, evenness: float = 1.0) -> DataFrame:

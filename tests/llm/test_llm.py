@@ -299,6 +299,30 @@ def test_swapped_groups_score_alike():
     assert gap(even) < 0.5 * gap(plain) and even.score("you idiot") > 0.7 > even.score("women are here")
 
 
+def test_swapped_groups_score_alike_with_beginnings(spark, tmp_path):
+    index = {w: i for i, w in enumerate(["muslims", "christians", "mus*", "musl*", "chr*", "nice"])}
+    assert [sorted(c) for c in toxicity.swaps({"muslims", "music", "nice"}, index) if c] == [[-4, -1, 2, 5]]
+    rng = random.Random(4)
+    filler = ["".join(rng.choice("bdfgkl") for _ in range(5)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(1500):
+        bad = rng.random() < 0.4
+        group = ["muslims"] if rng.random() < (0.8 if bad else 0.1) else ["christians"] if rng.random() < 0.3 else []
+        ws = group + ["idiot"] * (bad and rng.random() < 0.8) + rng.sample(filler, 12)
+        rng.shuffle(ws)
+        rows.append((i, " ".join(ws)))
+        labels.append((i, 1, int(bad)))
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(path)
+    model = toxicity.toxicity_model(spark.read.parquet(path), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), evenness=5.0)
+    assert model.weights[[model.index[w] for w in ("mus*", "musl*", "muslim*") if w in model.index]].size
+    for text in ("{} are here", "a nice day with {} and others", "{} love music"):
+        logit = lambda w: math.log(model.score(text.format(w)) / (1 - model.score(text.format(w))))
+        scores = [logit(w) for w in ("muslims", "christians", "jews", "buddhists")]
+        assert max(scores) - min(scores) < 0.5, (text, scores)
+    assert model.score("you idiot") > 0.7 > model.score("muslims are here")
+
+
 def brute_alignments(docs, items, share, least, masks):
     words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
     best = {}
