@@ -111,6 +111,17 @@ def common_extension(a: Prefixes, i: int, b: Prefixes, j: int, backwards: bool =
     return low
 
 
+def smallest_distinct(values: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` smallest distinct values in order, or all if they are fewer; the part looked at widens until it holds them."""
+    most = 20 * n
+    while values.size > 2 * most:
+        found = np.unique(np.partition(values, most)[:most])
+        if found.size >= n:
+            return found[:n]
+        most *= 4
+    return np.unique(values)[:n]
+
+
 def fingerprint(p: Prefixes) -> str:
     """size, step and hash of the whole; hashes of prefixes and of suffixes of 1, 2, ... steps; smallest span hashes.
 
@@ -126,9 +137,7 @@ def fingerprint(p: Prefixes) -> str:
     length = min(SPAN, n)
     spans = p.spans(np.arange(n - length + 1), np.int64(length))
     mixed = (spans * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    if mixed.size > 40 * SKETCH:
-        mixed = np.partition(mixed, 20 * SKETCH)[: 20 * SKETCH]
-    smallest = np.unique(mixed)[:SKETCH] if n else mixed[:0]
+    smallest = smallest_distinct(mixed, SKETCH) if n else mixed[:0]
     lists = ["".join("%08x" % v for v in x.tolist()) for x in (ahead, behind, smallest)]
     return ":".join(["%x" % n, "%x" % step, "%016x" % int(p.spans(0, n)), *lists])
 

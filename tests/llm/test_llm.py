@@ -208,6 +208,19 @@ def test_prefix_hashes_answer_spans_and_extensions():
         assert prefix_hash.fingerprint(pa_.then(pb)) == prefix_hash.fingerprint(prefix_hash.Prefixes.of(a + b))
 
 
+def test_sketches_of_texts_that_repeat():
+    rng = np.random.default_rng(7)
+    for values in (np.zeros(5000, np.uint64), rng.integers(0, 20, 5000).astype(np.uint64), np.repeat(rng.integers(0, 2**32, 40), 500).astype(np.uint64), rng.integers(0, 2**32, 5000).astype(np.uint64)):
+        assert prefix_hash.smallest_distinct(values, prefix_hash.SKETCH).tolist() == sorted(set(values.tolist()))[: prefix_hash.SKETCH]
+    letters = random.Random(11)
+    p, q = ("".join(letters.choice("abcdefgh") for _ in range(200)) for _ in range(2))
+    one, two = prefix_hash.fingerprint(prefix_hash.Prefixes.of(p * 1000)), prefix_hash.fingerprint(prefix_hash.Prefixes.of((p + q) * 500))
+    assert len(one.split(":")[-1]) == len(two.split(":")[-1]) == 8 * prefix_hash.SKETCH
+    spans = lambda t: {t[i : i + prefix_hash.SPAN] for i in range(len(t) - prefix_hash.SPAN + 1)}
+    a, b = spans(p * 3), spans((p + q) * 3)
+    assert abs(prefix_hash.likeness(one, two) - len(a & b) / len(a | b)) < 0.25
+
+
 def test_edited_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(prefix_hash, "PART_CHARS", 40_000)
     got = {r.doc_id: r for r in QUERIES["op3_prefix_hashes"](spark, FOLDER).collect()}
