@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm import bpe, decontaminate, lattice, licences, lines, near_copies, personal_data, prefix_hash, quality, toxicity
+from placemill.llm import bpe, decontaminate, lattice, licences, lines, near_copies, personal_data, prefix_hash, quality, resample, toxicity
 from placemill.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,33 @@ r as (select *, unit <> '' and rn > 1 as cut from n)
 select doc_id, coalesce(string_agg(case when not cut then line end, chr(10) order by pos), '') as text, count(*) as n_units, count(*) filter (where cut) as n_removed,
   coalesce(string_agg(case when cut then concat(start, ':', start + length(line)) end, ',' order by pos), '') as removed from r group by doc_id"""
 
+# Every run of one to three words, its crc32 byte by byte, and the sums over all of them.
+RESAMPLE_SQL = r"""
+with recursive crc_bits(i, c, k) as (
+  select i, i::bigint, 0 from range(256) r(i) union all
+  select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from crc_bits where k < 8),
+crc_table as (select list(c order by i) as t from crc_bits where k = 8),
+texts as (select 'd' as side, doc_id as id, coalesce(text, '') as text from documents union all select 'b', item_id, coalesce(text, '') from benchmark),
+words as (select side, id, list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from texts),
+runs as (select side, id, unnest(list_concat(list_transform(range(1, len(w) + 1), lambda i: w[i]),
+  list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]),
+  list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as f from words),
+counted as (select side, id, f, count(*) as n from runs group by all),
+hexed as (select f, hex(encode(f)) as h from (select distinct f from counted)),
+bytes as (select f, h, strlen(h) // 2 as size from hexed),
+steps as (select f, size, 0 as pos, 4294967295::bigint as c, h from bytes union all
+  select f, size, pos + 1, xor(c >> 8, (select t from crc_table)[xor(c & 255, ('0x' || substr(h, 2 * pos + 1, 2))::bigint) + 1]), h from steps where pos < size),
+hashed as (select f, xor(c, 4294967295) % 10000 as bucket from steps where pos = size),
+placed as (select side, id, bucket, sum(n) as n from counted join hashed using (f) group by all),
+totals as (select bucket, coalesce(sum(n) filter (where side = 'd'), 0)::double as s, coalesce(sum(n) filter (where side = 'b'), 0)::double as t from placed group by 1),
+gains as (select bucket, floor(1000 * ln((t + 1) * ((select sum(s) from totals) + 10000) / ((s + 1) * ((select sum(t) from totals) + 10000))))::bigint as gain from totals),
+weighed as (select id, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from placed join gains using (bucket) where side = 'd' group by 1),
+scored as (select w.id as doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, len(w.w) >= 20 as open,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from words w left join weighed using (id) where w.side = 'd'),
+numbered as (select *, row_number() over (partition by open order by score desc, doc_id) as place, count(*) filter (where open) over () as total from scored)
+select doc_id, n_features::bigint as n_features, weight::bigint as weight, score::bigint as score, case when open and place <= 5 * total // 100 then place end::bigint as rank from numbered"""
+
 
 @register
 def op1_lattice_likelihood(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,3 +169,9 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = lines.deduplicate(read(spark, folder, "documents"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.withColumn("removed", spans)
+
+
+@register(sql=RESAMPLE_SQL)
+def op13_regular_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    out = resample.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
