@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm import bpe, decontaminate, lattice, licences, lines, near_copies, personal_data, prefix_hash, quality, resample, toxicity
+from placemill.llm import bpe, decontaminate, lattice, licences, lines, near_copies, personal_data, prefix_hash, quality, resample, suffix_buckets, toxicity
 from placemill.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,22 @@ r as (select *, unit <> '' and rn > 1 as cut from n)
 select doc_id, coalesce(string_agg(case when not cut then line end, chr(10) order by pos), '') as text, count(*) as n_units, count(*) filter (where cut) as n_removed,
   coalesce(string_agg(case when cut then concat(start, ':', start + length(line)) end, ',' order by pos), '') as removed from r group by doc_id"""
 
+# Every string of 100 bytes, written in hex, and the place of its first.
+REPEATS_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+starts as (select doc_id, h, unnest(range(0, greatest(strlen(h) // 2 - 99, 0))) as pos from d),
+windows as (select doc_id, pos, md5(substr(h, 2 * pos + 1, 200)) as s from starts),
+ranked as (select doc_id, pos, row_number() over (partition by s order by doc_id, pos) as n from windows),
+again as (select doc_id, pos, lag(pos) over (partition by doc_id order by pos) as before from ranked where n > 1),
+islands as (select doc_id, pos, sum(case when pos <= before + 100 then 0 else 1 end) over (partition by doc_id order by pos) as island from again),
+spans as (select doc_id, island, min(pos) as a, max(pos) + 100 as b from islands group by 1, 2),
+cuts as (select doc_id, list(a order by a) as a, list(b order by a) as b from spans group by 1),
+kept as (select d.doc_id, strlen(h) // 2 as n_bytes, a, b, case when a is null then h else
+  list_aggregate(list_transform(range(0, len(a) + 1), lambda i: substr(h, case when i = 0 then 1 else 2 * b[i] + 1 end,
+    case when i = len(a) then strlen(h) else 2 * (a[i + 1] - case when i = 0 then 0 else b[i] end) end)), 'string_agg', '') end as left_
+  from d left join cuts using (doc_id))
+select doc_id, n_bytes, n_bytes - strlen(left_) // 2 as n_removed, coalesce(len(a), 0) as n_spans, sha256(unhex(left_)) as kept_sha256 from kept"""
+
 # Every run of one to three words, its crc32 byte by byte, and the sums over all of them.
 RESAMPLE_SQL = r"""
 with recursive crc_bits(i, c, k) as (
@@ -171,6 +187,13 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("removed", spans)
 
 
+@register(sql=REPEATS_SQL)
+def op12_bucket_refinement(spark: SparkSession, folder: str) -> DataFrame:
+    out = suffix_buckets.remove_repeats(read(spark, folder, "documents"))
+    cut = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", cut.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register(sql=RESAMPLE_SQL)
 def op13_regular_sampling(spark: SparkSession, folder: str) -> DataFrame:
     out = resample.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
