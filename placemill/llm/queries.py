@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm import bpe, decontaminate, lattice, licences, lines, near_copies, personal_data, prefix_hash, quality, resample, suffix_buckets, toxicity
+from placemill.llm import bpe, codebooks, decontaminate, lattice, licences, lines, near_copies, personal_data, prefix_hash, quality, resample, suffix_buckets, toxicity
 from placemill.llm.common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,30 @@ r as (select *, unit <> '' and rn > 1 as cut from n)
 select doc_id, coalesce(string_agg(case when not cut then line end, chr(10) order by pos), '') as text, count(*) as n_units, count(*) filter (where cut) as n_removed,
   coalesce(string_agg(case when cut then concat(start, ':', start + length(line)) end, ',' order by pos), '') as removed from r group by doc_id"""
 
+
+def _assigned(n: int) -> str:
+    """Every part against every entry of the codebooks ``b{n}``; the smallest distance, then the smallest index."""
+    return f"""a{n} as (select vec_id, part, x, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'e': entry}}) as best
+  from p join b{n} using (part) group by all)"""
+
+
+def _moved(n: int) -> str:
+    """The codebooks ``b{n}``: floored means of what ``a{n - 1}`` gave to each entry, or the entry before."""
+    return f"""m{n} as (select part, entry, list(mean order by place) as c from
+  (select part, best.e as entry, place, floor(sum(x[place]) / count(*)) as mean from (select *, unnest(range(1, len(x) + 1)) as place from a{n - 1}) group by all) group by all),
+b{n} as (select part, entry, coalesce(m{n}.c, b{n - 1}.c) as c from b{n - 1} left join m{n} using (part, entry))"""
+
+
+CODES_SQL = f"""
+with recursive kept as (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+p as (select vec_id, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] as x from (select *, unnest(range(0, 4)) as part from kept)),
+b0 as (select part, row_number() over (partition by part order by vec_id) - 1 as entry, x as c from p where vec_id in (select vec_id from kept order by vec_id limit 256)),
+{", ".join(f"{_assigned(n)}, {_moved(n + 1)}" for n in range(4))}, {_assigned(4)},
+coded as (select vec_id, string_agg(printf('%02x', best.e), '' order by part) as code, sum(best.d)::bigint as error from a4 group by 1),
+digest as (select sha256(string_agg(c[place]::bigint::varchar, ',' order by part, entry, place)) as codebooks_sha256 from (select *, unnest(range(1, len(c) + 1)) as place from b4))
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded join kept using (vec_id), digest"""
+
 # Every string of 100 bytes, written in hex, and the place of its first.
 REPEATS_SQL = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
@@ -187,6 +211,13 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("removed", spans)
 
 
+@register(sql=CODES_SQL)
+def op11_adaptive_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = codebooks.compress(read(spark, folder, "embeddings"))
+    out = codebooks.with_label_errors(coded)
+    return out.select("vec_id", "code", "error", "label_error", F.lit(codebooks.books_digest(books)).alias("codebooks_sha256"))
+
+
 @register(sql=REPEATS_SQL)
 def op12_bucket_refinement(spark: SparkSession, folder: str) -> DataFrame:
     out = suffix_buckets.remove_repeats(read(spark, folder, "documents"))
