@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemill import dims
 from placemill.functions import hours, tags as tg
 from placemill.functions.text import WHITE, clean_text, has_readable_content, is_mostly_non_latin, name_key, opt, trimmed
+from placemill.operators.mentions import EDGE, mentions
 from placemill.operators.rank import first_per, number_rows, top_k
 
 LONG_ENOUGH = 200      # characters an article needs to count
 WINDOW = 350           # characters shown on either side of a mention
 MAX_WINDOWS = 3
-SHARD_CHARS = 2_000_000  # needles that one automaton holds; each further shard reads the texts once more
 
 
 # --- names ------------------------------------------------------------------
@@ -127,46 +123,6 @@ def match_articles(names: DataFrame, articles: DataFrame, min_chars: int = LONG_
 
 # --- excerpts -----------------------------------------------------------------
 
-def _finder(needles: list[str], names: list[str]):
-    """Rows of the columns ``names`` (the last one the text to search) with each needle their text holds."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for n in needles:
-            automaton.add_word(n, n)
-        automaton.make_automaton()
-        for batch in batches:
-            rows, found = [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                here = {n for _, n in automaton.iter(text.as_py() or "")}
-                rows += [i] * len(here)
-                found += sorted(here)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in batch.columns[:-1]), pa.array(found, pa.string())], names=[*names, "needle"])
-
-    return find
-
-
-def _mentions(docs: DataFrame, needles: DataFrame, shard_chars: int) -> DataFrame:
-    """The documents' columns and ``needle`` for every document that contains the needle.
-
-    Needles are dealt into shards of about ``shard_chars`` characters; each shard
-    becomes one automaton that reads every text once, so texts are not shuffled,
-    cut into runs or paired with needles.
-    """
-    size = needles.agg(F.coalesce(F.sum(F.length("needle") + 32), F.lit(0))).first()[0]
-    shards = max(1, -(-size // shard_chars))
-    rows = docs.withColumn("low", F.lower("text"))
-    shape = docs.withColumn("needle", F.lit("")).schema
-    found = None
-    for k in range(shards):
-        mine = [r["needle"] for r in needles.where(F.pmod(F.xxhash64("needle"), F.lit(shards)) == k).collect()]
-        if mine:
-            part = rows.mapInArrow(_finder(mine, docs.columns), shape)
-            found = part if found is None else found.unionByName(part)
-    return docs.withColumn("needle", F.lit("")).limit(0) if found is None else found
-
-
 def excerpt_windows(text: Column, needle: Column, around: int = WINDOW, most: int = MAX_WINDOWS) -> Column:
     """Text around the first mentions; each search starts where the last window ended."""
     low = F.lower(text)
@@ -181,12 +137,11 @@ def excerpt_windows(text: Column, needle: Column, around: int = WINDOW, most: in
     return F.array_compact(F.array(*windows))
 
 
-def excerpts(docs: DataFrame, places: DataFrame, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def excerpts(docs: DataFrame, places: DataFrame, edge: int = EDGE) -> DataFrame:
     """Passages of each document that mention a place by name (3 characters or more), without case."""
     needle = F.lower(trimmed(F.col("name")))
     named = places.select("place_id", needle.alias("needle")).where(F.length("needle") >= 3)
-    needles = named.select("needle").distinct()
-    pairs = _mentions(docs, needles, shard_chars)
+    pairs = mentions(docs, named.select("needle").distinct(), edge)
     shown = pairs.withColumn("excerpt", F.array_join(excerpt_windows(F.col("text"), F.col("needle")), " […] "))
     return shown.drop("text").join(named, "needle").drop("needle")
 

@@ -313,7 +313,7 @@ def c9(spark, folder):
 
 @query("c9_excerpts_by_anchor", _MENTION + "select doc_id, place_id from m")
 def c9_anchor(spark, folder):
-    return content.excerpts(_docs(spark, folder), _needles(spark, folder), shard_chars=600).select("doc_id", "place_id")
+    return content.excerpts(_docs(spark, folder), _needles(spark, folder), edge=2).select("doc_id", "place_id")
 
 
 _WIN = (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placemill.functions import geo
 from placemill.functions.text import name_key
-from placemill.operators import content, photos, rank, resolve
+from placemill.operators import content, mentions, photos, rank, resolve
 from placemill.operators.components import connected_components
 from placemill.plans.samples import places_with_tags, sample, table
 from placemill.streaming import jobs
@@ -125,13 +125,30 @@ def test_similar_pairs_in_tiles(spark):
     assert keep(one) == keep(many) and one.count() > 0
 
 
-def test_mentions_in_shards(spark):
+def test_mentions_by_short_and_long_edges(spark):
     docs = spark.createDataFrame([(1, "The Old Art Gallery and smart gallery park"), (2, "x"), (3, "ÉCOLE park")], "doc_id bigint, text string")
     places = spark.createDataFrame([(1, "art gallery"), (2, "PARK"), (3, "école"), (4, "zz"), (5, "the old art gallery and smart")], "place_id bigint, name string")
-    both = [rows_of(content.excerpts(docs, places, n).select("doc_id", "place_id", "excerpt")) for n in (10**6, 40)]
+    both = [rows_of(content.excerpts(docs, places, n).select("doc_id", "place_id", "excerpt")) for n in (6, 1)]
     assert both[0] == both[1] and len(both[0]) == 5
 
 
+def test_mentions_against_brute_force(spark):
+    """Names of several words, inside words, with common and missing words, double blanks, other scripts."""
+    rng = random.Random(4)
+    parts = ["a", "of", "bay", "baya", "ayb", "the", "éco", "北京", "北京市", "x-y", "★★★", "bay,", "\U0001f642z"]
+    blank = lambda: rng.choice([" ", " ", " ", "  ", "\n", ""])
+    texts = [(i, "".join(rng.choice(parts) + blank() for _ in range(rng.randrange(12)))) for i in range(80)] + [(80, None), (81, ""), (82, "bay" * 3000)]
+    names = {"".join(rng.choice(parts) + rng.choice([" ", " ", "  ", ""]) for _ in range(rng.randrange(1, 5))).strip().lower() for _ in range(150)}
+    names = sorted(n for n in names if len(n) >= 3) + ["nowhere", "the nowhere"]
+    want = sorted((i, n) for i, t in texts for n in names if t and n in t.lower())
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    needles = spark.createDataFrame([(n,) for n in names], "needle string")
+    for edge in (1, 6):
+        got = sorted((r.doc_id, r.needle) for r in mentions.mentions(docs, needles, edge).collect())
+        assert got == want and len(want) > 200
+    assert mentions.mentions(docs.limit(0), needles).collect() == [] and mentions.mentions(docs, needles.limit(0)).collect() == []
+
+
 def test_claims_stream_in_batches_and_restart(spark, tmp_path):
     source, claims, checkpoint = (str(tmp_path / d) for d in ("in", "claims", "cp"))
     found = sample(spark, FOLDER, "claims").cache()
