@@ -31,30 +31,26 @@ def export_manifest(
     """One row per file: a document and its pictures per place, a summary per city.
 
     ``places``: country, city, ord, place_id, osm_id, name; ``photos``: place_id, ord, url.
-    A city of more than ``max_places`` places is cut, and a row of kind ``note`` says so.
+    A city is its folder: cities whose names clean up to one folder share it, its
+    numbering and its bound. A city of more than ``max_places`` places is cut; a row of
+    kind ``note`` without a path then says so in ``note``, which is null elsewhere.
     """
     seg = lambda c, fallback: sanitize_path_segment(c, fallback, ascii_only=ascii_only)
-    rows = top_k(places, ["country", "city"], [F.col("ord")], max_places, out="place_no")
-    rows = rows.withColumn("country_dir", seg(F.col("country"), "Unknown Country")).withColumn("city_dir", seg(F.col("city"), "Unknown City"))
+    city = ["country_dir", "city_dir"]
+    placed = places.withColumn("country_dir", seg(F.col("country"), "Unknown Country")).withColumn("city_dir", seg(F.col("city"), "Unknown City"))
+    rows = top_k(placed, city, [F.col("ord")], max_places, out="place_no")
     safe = seg(F.col("name"), F.concat(F.lit("place-"), F.col("osm_id").cast("string")))
-    rows = unique_names(rows.withColumn("_safe", safe), ["country", "city"], "_safe", "ord", "base_name").drop("_safe")
-    folder = F.concat_ws("/", "country_dir", "city_dir", "base_name")
-    rows = rows.withColumn("folder", folder)
-    head = ["country_dir", "city_dir", "place_id"]
-    documents = rows.select(*head, F.lit("document").alias("kind"), F.concat("folder", F.lit("/"), "base_name", F.lit("_details.pdf")).alias("path"))
+    rows = unique_names(rows.withColumn("_safe", safe), city, "_safe", "ord", "base_name").drop("_safe")
+    rows = rows.withColumn("folder", F.concat_ws("/", *city, "base_name"))
+    head = [*city, "place_id"]
+    nobody, silent = F.lit(None).cast(places.schema["place_id"].dataType).alias("place_id"), F.lit(None).cast("string")
+    documents = rows.select(*head, F.lit("document").alias("kind"), F.concat("folder", F.lit("/"), "base_name", F.lit("_details.pdf")).alias("path"), silent.alias("note"))
     named = file_names(photos.where(allowed_image_url(F.col("url"))).join(rows.select(*head, "folder", "base_name"), "place_id"), keys=tuple(head))
-    pictures = named.select(*head, F.lit("picture").alias("kind"), F.concat("folder", F.lit("/"), "file_name").alias("path"))
-    per_city = rows.select("country_dir", "city_dir").distinct()
-    summaries = per_city.select(
-        "country_dir", "city_dir", F.lit(None).cast(places.schema["place_id"].dataType).alias("place_id"), F.lit("summary").alias("kind"),
-        F.concat_ws("/", "country_dir", "city_dir", F.lit("_search-summary.pdf")).alias("path"),
-    )
-    over = places.groupBy("country", "city").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_places)
-    notes = over.select(
-        seg(F.col("country"), "Unknown Country").alias("country_dir"), seg(F.col("city"), "Unknown City").alias("city_dir"),
-        F.lit(None).cast(places.schema["place_id"].dataType).alias("place_id"), F.lit("note").alias("kind"),
-        F.format_string(f"Only the first {max_places} of %d places were included.", "n").alias("path"),
-    )
+    pictures = named.select(*head, F.lit("picture").alias("kind"), F.concat("folder", F.lit("/"), "file_name").alias("path"), silent.alias("note"))
+    sizes = placed.groupBy(*city).agg(F.count(F.lit(1)).alias("n"))
+    summaries = sizes.select(*city, nobody, F.lit("summary").alias("kind"), F.concat_ws("/", *city, F.lit("_search-summary.pdf")).alias("path"), silent.alias("note"))
+    said = F.format_string(f"Only the first {max_places} of %d places were included.", "n")
+    notes = sizes.where(F.col("n") > max_places).select(*city, nobody, F.lit("note").alias("kind"), silent.alias("path"), said.alias("note"))
     return documents.unionByName(pictures).unionByName(summaries).unionByName(notes)
 
 

@@ -416,15 +416,16 @@ def h3(spark, folder):
 , p as (select *, row_number() over (partition by search_id order by ord) as rn from fx_places), k as (select *, row_number() over (partition by search_id, lower(name) order by ord) as nth from p where rn <= 300),
 b as (select search_id, ord, id, case when nth > 1 then concat(name, ' (', nth, ')') else name end as base from k),
 ph as (select f.place_id, row_number() over (partition by f.place_id order by f.ord) as n from fx_photos f join b on f.place_id = b.id)
-select concat('Land', search_id % 2, '/City ', search_id, '/', base, '/', base, '_details.pdf') as path, 'document' as kind from b
-union all select concat('Land', search_id % 2, '/City ', search_id, '/', base, '/', base, '_', lpad(n::varchar, 2, '0'), '.jpeg'), 'picture' from ph join b on ph.place_id = b.id where n <= 24
-union all select distinct concat('Land', search_id % 2, '/City ', search_id, '/_search-summary.pdf'), 'summary' from b""")
+select concat('Land', search_id % 2, '/City ', search_id, '/', base, '/', base, '_details.pdf') as path, 'document' as kind, null::varchar as note from b
+union all select concat('Land', search_id % 2, '/City ', search_id, '/', base, '/', base, '_', lpad(n::varchar, 2, '0'), '.jpeg'), 'picture', null from ph join b on ph.place_id = b.id where n <= 24
+union all select distinct concat('Land', search_id % 2, '/City ', search_id, '/_search-summary.pdf'), 'summary', null from b
+union all select null, 'note', concat('Only the first 300 of ', count(*), ' places were included.') from p group by search_id having count(*) > 300""")
 def a10(spark, folder):
     places = sample(spark, folder, "places").select(
         F.concat(F.lit("Land"), F.col("search_id") % 2).alias("country"), F.concat(F.lit("City  "), "search_id").alias("city"), "ord",
         F.col("id").alias("place_id"), F.col("ord").alias("osm_id"), "name",
     )
-    return export.export_manifest(places, sample(spark, folder, "photos")).select("path", "kind")
+    return export.export_manifest(places, sample(spark, folder, "photos")).select("path", "kind", "note")
 
 
 _OUTCOME = using("claims") + """

@@ -130,11 +130,20 @@ def test_cut_city_is_noted(spark):
     places = spark.createDataFrame([("PK", "A", i, i, i, f"P{i}") for i in range(5)] + [("PK", "B", 0, 0, 0, "P0")], "country string, city string, ord int, place_id int, osm_id int, name string")
     photos = spark.createDataFrame([(0, i, f"https://upload.wikimedia.org/f{i}.jpg") for i in range(3)], "place_id int, ord int, url string")
     rows = export_manifest(places, photos, max_places=4).collect()
-    assert [(r.city_dir, r.path) for r in rows if r.kind == "note"] == [("A", "Only the first 4 of 5 places were included.")]
+    assert [(r.city_dir, r.path, r.note) for r in rows if r.note or r.kind == "note"] == [("A", None, "Only the first 4 of 5 places were included.")]
     names = {city: sorted(r.path[-7:-5] for r in rows if r.kind == "picture" and r.city_dir == city) for city in "AB"}
     assert names == {"A": ["01", "02", "03"], "B": ["01", "02", "03"]}
 
 
+def test_cities_of_one_folder_share_its_names_and_bound(spark):
+    places = spark.createDataFrame([("PK", "A/B", 0, 0, 0, "Fort"), ("PK", "A B", 1, 1, 1, "Fort"), ("PK", "A B", 2, 2, 2, "fort")], "country string, city string, ord int, place_id int, osm_id int, name string")
+    photos = spark.createDataFrame([], "place_id int, ord int, url string")
+    rows = export_manifest(places, photos, max_places=2).collect()
+    paths = sorted(r.path for r in rows if r.kind == "document")
+    assert len({r.city_dir for r in rows}) == 1 and len(paths) == 2 and "Fort (2)" in paths[0] and sum(r.kind == "summary" for r in rows) == 1
+    assert [r.note for r in rows if r.kind == "note"] == ["Only the first 2 of 3 places were included."]
+
+
 def test_sheet_without_header(spark, tmp_path):
     path = tmp_path / "plain.csv"
     path.write_text("France,Paris\nItaly,Rome\n")

@@ -20,6 +20,14 @@ def test_query(spark, con, name):
     assert ok, message
 
 
+# Queries whose bounds and sizes the smallest tables do not reach.
+@pytest.mark.parametrize("name", ["a10_export_manifest", "d2_dedupe_places", "c9_excerpts", "c16_similar_pairs", "d6_semantic_dedupe", "c10_nearest_photos"])
+def test_query_on_larger_tables(spark, name):
+    folder = "/root/testdata/sf0.01"
+    ok, message = compare(spark, connect(folder), folder, name, QUERIES[name], ORACLES[name])
+    assert ok, message
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 50
 
