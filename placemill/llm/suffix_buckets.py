@@ -58,12 +58,12 @@ def _mixed(x: np.ndarray, mix: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def gram_hashes(data: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the q-gram at each byte of ``data``."""
+def gram_hashes(data: np.ndarray, q: int, hashes: int = 2) -> tuple[np.ndarray, np.ndarray | None]:
+    """Two hashes of the q-gram at each byte of ``data``, or one."""
     n = data.size - q + 1
     words = np.ndarray((data.size - 7,), "<u8", data, strides=(1,))
     out = []
-    for mix in _MIX:
+    for mix in _MIX[:hashes]:
         h = np.full(n, mix ^ _ODD[0])
         for k in range(q // 8):
             x = words[8 * k : 8 * k + n] * _ODD[k]
@@ -71,7 +71,7 @@ def gram_hashes(data: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
             h ^= x
             h = _mixed(h, mix)
         out.append(h)
-    return out[0], out[1]
+    return out[0], out[1] if hashes > 1 else None
 
 
 def name_of(h: np.ndarray, start: np.ndarray, end: np.ndarray, q: int, seed: np.ndarray | int, steps: int) -> np.ndarray:
@@ -110,15 +110,16 @@ def pieces(column: pa.BinaryArray, overlap: int) -> Iterator[tuple[np.ndarray, n
         low = high
 
 
-def text_nodes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def text_nodes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, keys_only: bool = False) -> tuple[np.ndarray, ...]:
     """(text, key, cls, at, lo, hi): the nodes of texts that lie one behind the other.
 
     lo to hi are the starts, ``at`` the place of their q-gram, all places in ``data``.
+    With ``keys_only`` there are no classes.
     """
     q = gram_of(length)
     if data.size < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
-    h1, h2 = gram_hashes(data, q)
+    h1, h2 = gram_hashes(data, q, 1 if keys_only else 2)
     owner = owners(h1, length - q + 1)
     long = ends - starts >= length
     edge = np.zeros(owner.size + 1, np.int8)
@@ -131,7 +132,7 @@ def text_nodes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: i
     last[:-1] &= ~(valid[1:] & same)
     lo, hi = np.flatnonzero(first), np.flatnonzero(last)
     at = owner[lo]
-    cls = name_of(h2, lo, hi + length, q, at - lo, -(-(2 * length - q) // q))
+    cls = None if keys_only else name_of(h2, lo, hi + length, q, at - lo, -(-(2 * length - q) // q))
     return np.searchsorted(starts, lo, side="right") - 1, h1[at], cls, at, lo, hi
 
 
@@ -139,6 +140,19 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def first_keys(rows: DataFrame, length: int) -> DataFrame:
+    """(key) of each node of whole texts, to be counted."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, starts, ends, _ in pieces(batch.column(0), length - 1):
+                keys = _signed(text_nodes(data, starts, ends, length, keys_only=True)[1])
+                for a in range(0, len(keys), 100_000):
+                    yield pa.RecordBatch.from_arrays([keys.slice(a, 100_000)], names=["key"])
+
+    return rows.select("text").mapInArrow(make, "key bigint")
+
+
 def first_nodes(rows: DataFrame, length: int) -> DataFrame:
     """The nodes of whole texts. ``rows``: (_row, doc_id, text as bytes)."""
 
@@ -225,14 +239,15 @@ def finer_nodes(held: DataFrame, length: int, width: int) -> DataFrame:
     return held.select("doc_id", ROW, "base", "at", "lo", "hi", "bytes").mapInArrow(make, NODE.format(kind=kind))
 
 
-def refine(nodes: DataFrame, scratch: Scratch, go_on: bool = True) -> tuple[DataFrame, DataFrame | None]:
+def refine(nodes: DataFrame, keys: DataFrame, scratch: Scratch, go_on: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """(spans, open): starts that are settled as (_row, lo, hi), and the first node of each class in buckets of several classes.
 
     The first is by id, rows without an id last, then by row as it lies, then by
-    place. Counts and firsts are partial sums before they are shuffled; a bucket that
-    many nodes share is a hot key of plain equality joins alone, which Spark splits.
+    place. ``keys`` has the key of each node. Counts and firsts are partial sums before
+    they are shuffled; they are written, so that a bucket that many nodes share is a
+    hot key of plain equality joins alone, which Spark splits.
     """
-    several = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    several = scratch.keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "several")
     shared = scratch.keep(nodes.join(several, "key", "left_semi"), "buckets")
     rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW, "lo", "hi", "at", "base")
     classes = scratch.keep(shared.groupBy("key", "cls").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
@@ -241,9 +256,10 @@ def refine(nodes: DataFrame, scratch: Scratch, go_on: bool = True) -> tuple[Data
     spans = scratch.keep(spans.select(ROW, "lo", "hi"), "spans")
     opened = None
     if go_on:
-        mixed = classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        mixed = scratch.keep(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "mixed")
         opened = scratch.keep(classes.join(mixed, "key", "left_semi").select("first.doc_id", f"first.{ROW}", "first.base", "first.at", "first.lo", "first.hi"), "open")
-    scratch.drop(shared, classes)
+        scratch.drop(mixed)
+    scratch.drop(several, shared, classes)
     return spans, opened
 
 
@@ -261,11 +277,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias(ROW), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    by_node, opened = refine(first_nodes(rows, length), scratch)
+    by_node, opened = refine(first_nodes(rows, length), first_keys(rows, length), scratch)
     held = scratch.keep(contexts(rows, opened, length), "contexts")
-    by_block, blocks = refine(finer_nodes(held, length, block_of(length)), scratch)
+    finer = finer_nodes(held, length, block_of(length))
+    by_block, blocks = refine(finer, finer.select("key"), scratch)
     single = blocks.select(ROW, "base", "at", "lo", "hi").join(held.select("doc_id", ROW, "base", "bytes").hint("merge"), [ROW, "base"])
-    by_start, _ = refine(finer_nodes(single, length, 1), scratch, go_on=False)
+    finest = finer_nodes(single, length, 1)
+    by_start, _ = refine(finest, finest.select("key"), scratch, go_on=False)
     scratch.drop(opened, blocks, held)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
