@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +13,9 @@ from placemill.functions.vectors import cosine
 from placemill.operators.components import connected_components
 from placemill.operators.merge import EVENTS_PER_ROUND, MAX_GROUP, ordered_merge
 from placemill.operators.rank import first_per
+from placemill.operators.vector_pairs import TILE, near_pairs
 from placemill.session import cut
 
-TILE = 512
-
-
 def _place_struct(df: DataFrame, flag) -> Column:
     score = information_score(F.col("tags"), F.col("osm_type"))
     own = [F.col(c) for c in df.columns if c not in ("score", "chain")]
@@ -120,50 +116,9 @@ def same_name_pairs(places: DataFrame, metres: float = dims.CHAIN_RADIUS_M) -> D
     )
 
 
-def _tile_pairs(rows: DataFrame, tile_rows: int) -> DataFrame:
-    """Rows copied to every pair of tiles that must be compared; a tile holds about ``tile_rows`` rows."""
-    sizes = rows.groupBy("search_id").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles"))
-    tiled = rows.join(sizes, "search_id").withColumn("tile", F.pmod(F.xxhash64("ord"), F.col("tiles")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    return tiled.withColumn("other", other).select(
-        "search_id", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "ord", "vector"
-    )
-
-
-def _compare(threshold: float):
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        vectors = np.stack(pdf["vector"].to_numpy()).astype("float64")
-        norms = np.linalg.norm(vectors, axis=1)
-        usable = norms > 0
-        unit = vectors[usable] / norms[usable, None]
-        ords, tiles = pdf["ord"].to_numpy()[usable], pdf["tile"].to_numpy()[usable]
-        left, right = tiles == i, tiles == j
-        near = unit[left] @ unit[right].T
-        a, b = np.nonzero(near >= threshold)
-        oa, ob = ords[left][a], ords[right][b]
-        keep = oa < ob if i == j else oa != ob
-        return pd.DataFrame({
-            "search_id": pdf["search_id"].iloc[0],
-            "ord_a": np.minimum(oa, ob)[keep], "ord_b": np.maximum(oa, ob)[keep], "cosine": near[a, b][keep],
-        })
-
-    return compare
-
-
 def similar_pairs(places: DataFrame, threshold: float = dims.DUPLICATE_COSINE, tile_rows: int = TILE) -> DataFrame:
-    """Unbranded pairs of a search with cosine at or above ``threshold``.
-
-    Exact. A search is cut into tiles of bounded size; each pair of tiles is one
-    matrix product in its own group, so no group grows with the search, and only
-    matches leave a task.
-    """
-    rows = places.where(~is_branded(F.col("tags")) & F.col("vector").isNotNull()).select("search_id", "ord", "vector")
-    kind = rows.schema["search_id"].dataType.simpleString()
-    return (
-        _tile_pairs(rows, tile_rows).groupBy("search_id", "i", "j")
-        .applyInPandas(_compare(threshold), f"search_id {kind}, ord_a bigint, ord_b bigint, cosine double")
-    )
+    """Unbranded pairs of a search with cosine at or above ``threshold``; exact, see ``vector_pairs``."""
+    return near_pairs(places.where(~is_branded(F.col("tags")) & F.col("vector").isNotNull()), threshold, tile_rows)
 
 
 def semantic_dedupe(

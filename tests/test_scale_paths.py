@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placemill.functions import geo
 from placemill.functions.text import name_key
-from placemill.operators import content, mentions, photos, rank, resolve
+from placemill.operators import content, mentions, photos, rank, resolve, vector_pairs
 from placemill.operators.components import connected_components
 from placemill.plans.samples import places_with_tags, sample, table
 from placemill.streaming import jobs
@@ -125,6 +125,29 @@ def test_similar_pairs_in_tiles(spark):
     assert keep(one) == keep(many) and one.count() > 0
 
 
+@pytest.mark.parametrize("threshold,tile_rows", [(0.95, 16), (0.95, 1000), (0.8, 20), (-1.0, 30), (1.0, 25)])
+def test_near_pairs_against_all_pairs(spark, threshold, tile_rows):
+    """Clusters, copies, opposite vectors and vectors without length, over two searches."""
+    rng = random.Random(tile_rows)
+    centres = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(9)]
+    rows = []
+    for i in range(260):
+        v = [c + rng.gauss(0, 0.1) for c in rng.choice(centres)]
+        v = rows[-1][2] if i % 11 == 5 else [-x for x in rows[-1][2]] if i % 11 == 7 else [0.0] * 6 if i % 50 == 3 else v
+        rows.append((1 if i % 9 else 2, i, v))
+    long = {i: math.sqrt(sum(x * x for x in v)) for _, i, v in rows}
+    cos = lambda a, b: sum(x * y for x, y in zip(a[2], b[2])) / long[a[1]] / long[b[1]]
+    measured = {(a[0], a[1], b[1]): cos(a, b) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and long[a[1]] and long[b[1]]}
+    df = spark.createDataFrame(rows, "search_id bigint, ord bigint, vector array<double>")
+    found = vector_pairs.near_pairs(df, threshold, tile_rows).collect()
+    got = {(r.search_id, r.ord_a, r.ord_b): r.cosine for r in found}
+    assert len(got) == len(found) and all(abs(measured[k] - c) < 1e-9 for k, c in got.items())
+    assert {k for k, c in measured.items() if c >= threshold + 1e-9} <= set(got) <= {k for k, c in measured.items() if c >= threshold - 1e-9} and got
+    placed = vector_pairs.placed_rows(df, threshold, tile_rows)
+    share = {r.search_id: r.compared / r.pairs for r in vector_pairs.compared_pairs(placed, threshold).collect()}
+    assert share[1] < 0.5 if threshold == 0.95 and tile_rows == 16 else share[1] <= 1
+
+
 def test_mentions_by_short_and_long_edges(spark):
     docs = spark.createDataFrame([(1, "The Old Art Gallery and smart gallery park"), (2, "x"), (3, "ÉCOLE park")], "doc_id bigint, text string")
     places = spark.createDataFrame([(1, "art gallery"), (2, "PARK"), (3, "école"), (4, "zz"), (5, "the old art gallery and smart")], "place_id bigint, name string")
