@@ -1,8 +1,8 @@
 """Structured Streaming jobs: claims, request filtering, latest stages, run counters.
 
-Counters write one folder per micro-batch, so a replayed batch overwrites itself,
-and read only the folder of the batch before; the other jobs keep their memory in
-keyed state and write through the file sink, which takes each batch once.
+All jobs keep their memory in keyed state. Counters write one folder per micro-batch,
+so a replayed batch overwrites itself, and read only the folder of the batch before;
+the others write through the file sink, which takes each batch once.
 """
 
 from __future__ import annotations
@@ -17,11 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from placemill.operators.quality import progress_totals
+from placemill.streaming.processors import LatestStage, RegionStatus, use_rocksdb
 
 CLAIMS = "place_id bigint, region_ord bigint"
-FINISHED = ("done", "failed")
-FORGET_MS = 60_000
 
 
 def _table(spark: SparkSession, path: str, shape: str) -> DataFrame:
@@ -108,32 +106,22 @@ def newest_in_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 STAGE = "id string, ts timestamp, ord bigint, stage string"
-STAGE_STATE = "us bigint, ord bigint, stage string"
 
 
-def track_stage(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Newest stage of one id; a finished id is forgotten once the watermark is a minute past its last update."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    best = state.get if state.exists else (-1, -1, "")
-    for frame in frames:
-        us = frame["ts"].astype("datetime64[us]").astype("int64")
-        best = max([best, *zip(us.tolist(), frame["ord"].tolist(), frame["stage"].tolist())], key=lambda r: (r[0], r[1]))
-    state.update(tuple(best))
-    if best[2] in FINISHED:
-        state.setTimeoutTimestamp(max(best[0] // 1000 + FORGET_MS, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"id": [key[0]], "ts": [pd.Timestamp(best[0], unit="us")], "ord": [best[1]], "stage": [best[2]]})
-
-
-def latest_stage(progress: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Running newest stage per id (update mode); rows older than the watermark are dropped.
+def latest_stage(progress: DataFrame, delay: str = "10 minutes", clock: str = "event") -> DataFrame:
+    """Running newest stage per id (update mode), by ``transformWithState``; a finished id is forgotten a minute after its last update.
 
-    Event time drives the forgetting, so a replay gives the same result and a
-    run over what is available comes to an end.
+    With the clock "event" that minute is event time, so a replay gives the same
+    result and a run over what is available comes to an end, and rows older than the
+    watermark are dropped. With the clock "processing" it is a time to live, and no
+    row is late.
     """
-    slim = progress.select("id", "ts", "ord", "stage").mapInPandas(newest_in_batch, STAGE).withWatermark("ts", delay)
-    return slim.groupBy("id").applyInPandasWithState(track_stage, STAGE, STAGE_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    use_rocksdb(progress.sparkSession)
+    slim = progress.select("id", "ts", "ord", "stage").mapInPandas(newest_in_batch, STAGE)
+    if clock == "event":
+        slim = slim.withWatermark("ts", delay)
+    mode = {"event": "EventTime", "processing": "ProcessingTime"}[clock]
+    return slim.groupBy("id").transformWithStateInPandas(LatestStage(clock == "event"), STAGE, "Update", mode)
 
 
 def latest_stage_batch(progress: DataFrame) -> DataFrame:
@@ -142,25 +130,53 @@ def latest_stage_batch(progress: DataFrame) -> DataFrame:
     return progress.groupBy("id").agg(newest).select("id", "s.ts", "s.ord", "s.stage")
 
 
-STATUS = "region_ord bigint, ts timestamp, status string, place_count bigint, batch_id bigint"
+CHANGES = "region_ord bigint, ts timestamp, status string, place_count bigint"
+COUNTERS = "total bigint, finished bigint, failed bigint, places bigint, batch_id bigint"
 
 
 def latest_status(rows: DataFrame) -> DataFrame:
-    newest = F.max_by(F.struct("ts", "status", "place_count"), F.struct("ts", "status")).alias("s")
+    """Newest status of each region; at one time the last in order of status, then of places."""
+    newest = F.max_by(F.struct("ts", "status", "place_count"), F.struct("ts", "status", "place_count")).alias("s")
     return rows.groupBy("region_ord").agg(newest).select("region_ord", "s.*")
 
 
-def job_counters(changes: DataFrame, state_path: str, counters_path: str, checkpoint: str) -> DataStreamWriter:
-    """Totals after every micro-batch, each region counted once with its newest status."""
+def newest_status_in_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Only the newest row per region leaves a map task."""
+    for frame in frames:
+        yield frame.sort_values(["ts", "status", "place_count"]).groupby("region_ord", as_index=False).tail(1)
+
+
+def status_changes(changes: DataFrame) -> DataFrame:
+    """(status, place_count, sign): what a region's new status adds to the totals (1) and its old one takes back (-1)."""
+    use_rocksdb(changes.sparkSession)
+    slim = changes.select("region_ord", "ts", "status", "place_count").mapInPandas(newest_status_in_batch, CHANGES)
+    return slim.groupBy("region_ord").transformWithStateInPandas(RegionStatus(), "status string, place_count bigint, sign int", "Update", "None")
+
+
+def job_counters(changes: DataFrame, counters_path: str, checkpoint: str) -> DataStreamWriter:
+    """Totals after every micro-batch, each region counted once with its newest status.
+
+    ``changes``: region_ord, ts, status, place_count. Regions are keyed state; a
+    micro-batch adds up the changes of its own regions and the totals of the batch
+    before, one row, so its work does not grow with the regions known.
+    """
 
     def count(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _table(spark, state_path, STATUS).where(F.col("batch_id") == batch_id - 1).drop("batch_id")
-        _publish(latest_status(known.unionByName(batch.select(*known.columns))), state_path, batch_id)
-        now = _table(spark, state_path, STATUS).where(F.col("batch_id") == batch_id)
-        _publish(progress_totals(now), counters_path, batch_id)
+        signed = lambda flag: F.sum(F.when(flag, F.col("sign")).otherwise(0))
+        moved = batch.agg(
+            signed(F.lit(True)).alias("total"), signed(F.col("status").isin("done", "skipped", "failed")).alias("finished"),
+            signed(F.col("status") == "failed").alias("failed"), F.sum(F.col("sign") * F.coalesce("place_count", F.lit(0))).alias("places"),
+        )
+        known = _table(batch.sparkSession, counters_path, COUNTERS).where(F.col("batch_id") == batch_id - 1).drop("batch_id")
+        sums = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in known.columns]
+        _publish(known.unionByName(moved).agg(*sums), counters_path, batch_id)
+
+    return status_changes(changes).writeStream.outputMode("update").foreachBatch(count).option("checkpointLocation", checkpoint)
+
 
-    return changes.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint)
+def read_counters(spark: SparkSession, counters_path: str) -> DataFrame:
+    """The totals after each micro-batch."""
+    return _table(spark, counters_path, COUNTERS)
 
 
 def run_available(writer: DataStreamWriter) -> None:

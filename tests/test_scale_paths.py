@@ -204,3 +204,44 @@ def test_requests_pass_again_after_their_time(spark, tmp_path, files):
         jobs.run_available(passed.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")))
     got = [(r.cache_key, r.ts) for r in spark.read.schema(jobs.PASSED).parquet(out).collect()]
     assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def stages_run(spark, source, out, checkpoint, rows, n):
+    shape = "id string, ts timestamp, ord bigint, stage string"
+    spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
+    live = jobs.latest_stage(spark.readStream.schema(shape).parquet(source))
+    sink = live.writeStream.outputMode("update").foreachBatch(lambda df, b: df.write.mode("overwrite").parquet(f"{out}/run={n}/batch_id={b}"))
+    jobs.run_available(sink.option("checkpointLocation", checkpoint))
+    emitted = {(r.id, r.ord, r.stage) for r in spark.read.schema(jobs.STAGE).parquet(f"{out}/run={n}/batch_id=*").collect()}
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "live").load()
+    return emitted, {r.key.id: r.value.stage for r in state.select("key", "value").collect()}
+
+
+def test_finished_stages_are_forgotten_after_a_minute_and_a_restart_goes_on(spark, tmp_path):
+    at = lambda m, s=0: datetime.datetime(2026, 1, 1, 10, m, s)
+    paths = [str(tmp_path / d) for d in ("in", "out", "cp")]
+    emitted, state = stages_run(spark, *paths, [("a", at(0), 1, "starting"), ("a", at(1), 2, "done"), ("b", at(1), 3, "filtering"), ("c", at(1), 9, "failed")], 0)
+    assert emitted == {("a", 2, "done"), ("b", 3, "filtering"), ("c", 9, "failed")} and state == {"a": "done", "b": "filtering", "c": "failed"}
+    # c goes on before its minute is over; the watermark then passes a's minute.
+    emitted, _ = stages_run(spark, *paths, [("c", at(1, 30), 10, "starting"), ("b", at(0), 1, "starting"), ("d", at(13), 4, "starting")], 1)
+    assert emitted == {("c", 10, "starting"), ("b", 3, "filtering"), ("d", 4, "starting")}
+    emitted, state = stages_run(spark, *paths, [("d", at(14), 5, "done")], 2)
+    assert emitted == {("d", 5, "done")} and state == {"b": "filtering", "c": "starting", "d": "done"}
+
+
+def test_counters_take_old_statuses_back(spark, tmp_path):
+    """Several micro-batches and a restart, statuses that go back and forth, late rows, regions without a count."""
+    rng = random.Random(8)
+    start = datetime.datetime(2026, 1, 1)
+    rows = [(rng.randrange(9), start + datetime.timedelta(hours=rng.randrange(60)), rng.choice(["searching", "done", "failed", "skipped"]), rng.choice([None, 0, 3, 7])) for _ in range(150)]
+    source, counters, checkpoint = (str(tmp_path / d) for d in ("in", "counters", "cp"))
+    for low in (0, 50, 100):
+        spark.createDataFrame(rows[low : low + 50], jobs.CHANGES).repartition(2).write.mode("append").parquet(source)
+        changes = spark.readStream.schema(jobs.CHANGES).option("maxFilesPerTrigger", 1).parquet(source)
+        jobs.run_available(jobs.job_counters(changes, counters, checkpoint))
+        newest = {}
+        for region, ts, status, n in rows[: low + 50]:
+            newest[region] = max(newest.get(region, (start, "", -2)), (ts, status, -1 if n is None else n))
+        want = (len(newest), sum(s in ("done", "failed", "skipped") for _, s, _ in newest.values()), sum(s == "failed" for _, s, _ in newest.values()), sum(max(0, n) for _, _, n in newest.values()))
+        got = jobs.read_counters(spark, counters).orderBy(F.col("batch_id").desc()).first()
+        assert tuple(got)[:4] == want and got.batch_id >= low // 50 + 1
