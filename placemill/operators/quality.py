@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from placemill.functions import hours
 from placemill.functions.text import has_residual_script, is_mostly_non_latin, percent
-from placemill.operators.rank import next_value
+from placemill.operators.rank import next_value, value_at
 
 
 def search_stats(raw: DataFrame, deduped: DataFrame, kept: DataFrame, photos: DataFrame) -> DataFrame:
@@ -92,12 +92,9 @@ def section_fill(rows: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, keys: list[str], value: str, out: str = "upper_median") -> DataFrame:
-    """sorted[floor(n/2)] of each key, from a histogram of the distinct values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    by = Window.partitionBy(*keys)
-    cumulated = counts.withColumn("_upto", F.sum("_n").over(by.orderBy(value))).withColumn("_total", F.sum("_n").over(by))
-    reached = cumulated.where(F.col("_upto") >= F.floor(F.col("_total") / 2) + 1)
-    return reached.groupBy(*keys).agg(F.min(value).alias(out))
+    """sorted[floor(n/2)] of each key, from a histogram of the distinct values that no task holds whole."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
+    return value_at(counts, keys, value, "_times", F.floor(F.col("_total") / 2) + 1, out)
 
 
 def duplicate_totals(merged: DataFrame) -> DataFrame:

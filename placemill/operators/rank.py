@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placemill.session import written
+
 SPAN = 100_000
 GROUP_LIMIT = 1000  # up to here Spark cuts each map task's rows per key before the shuffle
 
@@ -54,6 +56,44 @@ def number_rows(
     return join_small(local, offsets, parts).withColumn(out, F.col("_local") + F.col("_before")).drop("_local", "_before", "_span")
 
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` written in ranges of (keys, order) as ``_part``, so that a hot key lies in many parts; later parts hold later rows."""
+    return written(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def _before(parts: DataFrame, keys: list[str], n: Column) -> DataFrame:
+    """(keys, _part, _n, _before): what each part holds of a key, and what the parts before it hold."""
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*keys, "_part").agg(n.alias("_n"))
+    return sums.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+
+
+def number_in_order(df: DataFrame, keys: list[str], order: list[Column], out: str = "rn") -> DataFrame:
+    """1-based number of each row within ``keys`` by any order, collated text too: ranges are numbered on their own and begin where those before end.
+
+    ``order`` must tell all rows of a key apart.
+    """
+    parts = in_ranges(df, keys, order)
+    local = parts.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    offsets = _before(parts, keys, F.count(F.lit(1))).drop("_n")
+    return join_small(local, offsets, [*keys, "_part"]).withColumn(out, F.col("_local") + F.col("_before")).drop("_local", "_before", "_part")
+
+
+def value_at(counts: DataFrame, keys: list[str], value: str, n: str, position: Column, out: str) -> DataFrame:
+    """(keys, out): the value that stands at ``position`` (from 1, an expression over ``_total``) of each key's values in order.
+
+    ``counts``: keys, distinct values, how often each occurs. The part that holds the
+    position is found from the parts' sums, then the value within that part.
+    """
+    parts = in_ranges(counts.select(*keys, value, n), keys, [F.col(value)])
+    sums = _before(parts, keys, F.sum(n)).withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+    reached = sums.withColumn("_want", position).where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_before") + F.col("_n")))
+    inside = join_small(parts, reached.select(*keys, "_part", "_before", "_want"), [*keys, "_part"]).where(F.col("_want").isNotNull())
+    upto = F.sum(n).over(Window.partitionBy(*keys, "_part").orderBy(value))
+    passed = inside.withColumn("_upto", F.col("_before") + upto).where(F.col("_upto") >= F.col("_want"))
+    return passed.groupBy(*keys).agg(F.min(value).alias(out))
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, out: str = "rn", salt_on: str = "ord") -> DataFrame:
     """The first ``k`` rows of each key, numbered. Beyond Spark's own group limit the key is salted first."""
     by = Window.partitionBy(*keys).orderBy(*order)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placemill import dims
 from placemill.functions.tags import information_score
-from placemill.operators.rank import number_rows, top_k
+from placemill.operators.rank import number_in_order, number_rows, top_k
 
 
 def with_information_score(places: DataFrame) -> DataFrame:
@@ -56,9 +56,9 @@ def first_pages(found: DataFrame, limit: int, page_rows: int = 20, pages: int =
     return top_k(found, ["search_id"], [F.col("ord")], min(page_rows * pages, limit), out="rn")
 
 
-def order_results(places: DataFrame, by: str) -> DataFrame:
-    """Result orderings: quality, name (language-aware) or image_count."""
+def order_results(places: DataFrame, by: str, out: str = "result_no") -> DataFrame:
+    """Each search's places numbered by quality, name (language-aware) or image_count, ties by ``ord``."""
     keys = {
-        "quality": [F.col("quality").desc()], "name": [F.collate("name", "UNICODE").asc()], "image_count": [F.col("image_count").desc()],
+        "quality": F.col("quality").desc(), "name": F.collate("name", "UNICODE").asc(), "image_count": F.col("image_count").desc(),
     }
-    return places.orderBy("search_id", *keys[by], "ord")
+    return number_in_order(places, ["search_id"], [keys[by], F.col("ord").asc()], out)

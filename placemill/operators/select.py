@@ -154,11 +154,30 @@ def subclass_closure(edges: DataFrame) -> DataFrame:
         closure = cut(closure.unionByName(frontier)) if depth % 16 == 0 else closure.unionByName(frontier)
 
 
-def instances_of(members: DataFrame, closure: DataFrame, classes: DataFrame) -> DataFrame:
+def classes_below(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, class_id): the classes of ``roots`` (class_id) and all below them, step by step down from the roots.
+
+    A step joins only the classes found last with the edges, so the work follows the
+    wanted part of the hierarchy; cycles end by themselves. Null ids are left out.
+    """
+    down = edges.select(F.col("parent").alias("class_id"), "child").where(F.col("child").isNotNull() & F.col("class_id").isNotNull())
+    named = roots.select("class_id").where(F.col("class_id").isNotNull()).distinct()
+    found = frontier = cut(named.select(F.col("class_id").alias("root"), "class_id"))
+    depth = 0
+    while True:
+        depth += 1
+        grown = frontier.join(down, "class_id").select("root", F.col("child").alias("class_id")).distinct()
+        frontier = cut(grown.join(found, ["root", "class_id"], "left_anti"))
+        if frontier.isEmpty():
+            return found
+        found = cut(found.unionByName(frontier)) if depth % 16 == 0 else found.unionByName(frontier)
+
+
+def instances_of(members: DataFrame, edges: DataFrame, classes: DataFrame) -> DataFrame:
     """(entity_id, category): entities whose type is a class of the category or lies below one."""
-    direct = members.select("entity_id", F.col("type_id").alias("class_id"))
-    above = members.join(closure, F.col("type_id") == F.col("child")).select("entity_id", F.col("ancestor").alias("class_id"))
-    return direct.unionByName(above).join(classes, "class_id").select("entity_id", "category").distinct()
+    below = classes_below(edges, classes).withColumnRenamed("class_id", "type_id")
+    wanted = below.join(classes.withColumnRenamed("class_id", "root"), "root").select("type_id", "category").distinct()
+    return members.join(wanted, "type_id").select("entity_id", "category").distinct()
 
 
 def best_geocode(found: DataFrame) -> DataFrame:

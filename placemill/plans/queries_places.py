@@ -592,9 +592,8 @@ select p.search_id, p.ord, row_number() over (partition by p.search_id order by
 def g3(spark, folder):
     places = sample(spark, folder, "places")
     counts = sample(spark, folder, "photos").groupBy(F.col("place_id").alias("id")).agg(F.count(F.lit(1)).alias("image_count"))
-    places = places.join(counts, "id", "left").fillna({"image_count": 0}).withColumn("sort_name", F.collate("name", "UNICODE"))
-    named = number_rows(places, ["search_id"], ["sort_name"], "ord", "by_name")
-    return number_rows(named, ["search_id"], ["-image_count"], "ord", "by_images").select("search_id", "ord", "by_name", "by_images")
+    named = score.order_results(places.join(counts, "id", "left").fillna({"image_count": 0}), "name", "by_name")
+    return score.order_results(named, "image_count", "by_images").select("search_id", "ord", "by_name", "by_images")
 
 
 @query("g5_over_fetch", using("places") + """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placemill.functions import geo
 from placemill.functions.text import name_key
-from placemill.operators import content, mentions, photos, rank, resolve, vector_pairs
+from placemill.operators import content, mentions, photos, quality, rank, resolve, select, vector_pairs
 from placemill.operators.components import connected_components
 from placemill.plans.samples import places_with_tags, sample, table
 from placemill.streaming import jobs
@@ -83,6 +83,40 @@ def test_numbers_over_spans(spark):
     assert rows_of(rank.number_rows(df, ["k"], ["-s"], "ord", "rn", span=10).select("k", "s", "ord", "rn")) == rows_of(want)
 
 
+def test_numbers_and_values_over_ranges(spark):
+    """A hot key, a null key, ties and a language-aware order, in more ranges than keys."""
+    rng = random.Random(6)
+    names = ["Éclair", "eclair", "Zebra", "apple", "Ápple", "zebra", ""]
+    rows = [(rng.choice([0, 0, 0, 1, None]), i, rng.choice(names), rng.choice([None, 5, 5, rng.randrange(400)])) for i in range(700)]
+    df = spark.createDataFrame(rows, "k int, ord bigint, name string, v bigint").repartition(6)
+    collated = [F.collate("name", "UNICODE").asc(), F.col("ord").asc()]
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy(*collated)))
+    assert rows_of(rank.number_in_order(df, ["k"], collated).select("k", "ord", "rn")) == rows_of(want.select("k", "ord", "rn"))
+    values = {}
+    for k, _, _, v in rows:
+        if v is not None:
+            values.setdefault(k, []).append(v)
+    got = {r.k: r.upper_median for r in quality.upper_median(df, ["k"], "v").collect()}
+    assert got == {k: sorted(v)[len(v) // 2] for k, v in values.items()}
+
+
+def test_instances_follow_the_wanted_classes(spark):
+    rng = random.Random(12)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(1, 2), (2, 1), (None, 3), (4, None)]
+    members = [(i, rng.randrange(70)) for i in range(90)] + [(91, None)]
+    classes = [(2, "a"), (5, "a"), (5, "b"), (65, "c"), (None, "d")]
+    want = set()
+    for root, category in classes:
+        below, queue = {root}, [root]
+        while queue:
+            new = {c for c, p in edges if p == queue[0] and p is not None and c is not None} - below
+            queue = queue[1:] + sorted(new)
+            below |= new
+        want |= {(e, category) for e, t in members if t is not None and t in below}
+    frames = [spark.createDataFrame(r, s) for r, s in ((members, "entity_id int, type_id int"), (edges, "child int, parent int"), (classes, "class_id int, category string"))]
+    assert {tuple(r) for r in select.instances_of(*frames).collect()} == want and len(want) > 10
+
+
 def test_top_k_beyond_group_limit(spark):
     df = spark.range(6000).select((F.col("id") % 2).alias("k"), F.col("id").alias("ord"))
     got = rank.top_k(df, ["k"], [F.col("ord").desc()], 1500)
