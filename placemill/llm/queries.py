@@ -68,14 +68,23 @@ c as (select a.doc_id, a.item_id, len(iw8.w) as n_words, len(list_filter(range(0
 select doc_id, item_id, max(n_match) as n_match, max(n_words) as n_words, count(*) as n_places from c
 where n_match >= ceil({decontaminate.SHARE} * n_words) and n_match >= {decontaminate.LEAST} group by 1, 2"""
 
-LINES_SQL = """
-with l as (select doc_id, text, pieces, unnest(range(0, len(pieces))) as pos from (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as pieces from documents)),
-u as (select doc_id, text, pos, pieces[pos + 1] as line, trim(regexp_replace(lower(pieces[pos + 1]), '\\s+', ' ', 'g')) as unit from l),
-n as (select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as start,
-  row_number() over (partition by unit order by doc_id, pos) as rn from u),
-r as (select *, unit <> '' and rn > 1 as cut from n)
-select doc_id, coalesce(string_agg(case when not cut then line end, chr(10) order by pos), '') as text, count(*) as n_units, count(*) filter (where cut) as n_removed,
-  coalesce(string_agg(case when cut then concat(start, ':', start + length(line)) end, ',' order by pos), '') as removed from r group by doc_id"""
+# Words with their places, clauses as runs of words up to a mark or a line's end, then runs of repeated clauses.
+LINES_SQL = f"""
+with t as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x09-\\x0D\\x20]+|[\\x09-\\x0D\\x20]+') as tokens from documents),
+k as (select doc_id, unnest(tokens) as token, unnest(range(0, len(tokens))) as i from t),
+p as (select *, coalesce(sum(length(token)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+  coalesce(lead(token) over (partition by doc_id order by i), '') as after from k),
+w as (select *, coalesce(sum(case when right(token, 1) in ('.', '!', '?', ',', ';', ':') or contains(after, chr(10)) then 1 else 0 end)
+  over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as pos from p where not regexp_matches(token, '^[\\x09-\\x0D\\x20]')),
+c as (select doc_id, pos, string_agg(lower(token), ' ' order by i) as unit, count(*) as words, min(start) as start, max(start + length(token)) as finish from w group by 1, 2),
+r as (select *, row_number() over (partition by unit order by doc_id, pos) as n from c),
+g as (select *, pos - row_number() over (partition by doc_id order by pos) as run from r where n > 1),
+s as (select doc_id, run, min(start) as a, max(finish) as b from g group by 1, 2 having sum(case when words >= {lines.CLAUSE_WORDS} then words else 0 end) >= {lines.PASSAGE_WORDS}),
+l as (select doc_id, list(a order by a) as a, list(b order by a) as b from s group by 1)
+select doc_id, case when a is null then text else list_aggregate(list_transform(range(0, len(a) + 1), lambda i: substr(text, case when i = 0 then 1 else b[i] + 1 end,
+    case when i = len(a) then length(text) else a[i + 1] - case when i = 0 then 0 else b[i] end end)), 'string_agg', '') end as text,
+  coalesce(len(a), 0) as n_removed, coalesce(list_aggregate(list_transform(range(1, len(a) + 1), lambda i: concat(a[i], ':', b[i])), 'string_agg', ','), '') as removed
+from t left join l using (doc_id)"""
 
 
 def _assigned(n: int) -> str:
@@ -206,7 +215,7 @@ def op9_bootstrapped_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(sql=LINES_SQL)
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = lines.deduplicate(read(spark, folder, "documents"))
+    out = lines.cut_passages(read(spark, folder, "documents"))
     spans = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
     return out.withColumn("removed", spans)
 
