@@ -63,6 +63,15 @@ def neighbour_cells(lat: Column, lon: Column, metres: float) -> Column:
     )
 
 
+def ring_reach(lat: Column, metres: float) -> Column:
+    """No point of the neighbouring cells is further away than this: two cells along the meridian, then two along the parallel."""
+    row = lat_cell(lat, metres)
+    wide = F.greatest(*[lon_width(row + n, metres) for n in (-1, 0, 1)])
+    step = metres * 1.001 / METRES_PER_DEGREE
+    nearest = F.greatest(F.lit(0.0), F.abs(lat) - 2 * step)
+    return F.lit(2 * step * METRES_PER_DEGREE) + 2 * wide * METRES_PER_DEGREE * F.cos(F.radians(nearest))
+
+
 def area_id(osm_type: Column, osm_id: Column) -> Column:
     """Offset ids under which relations and ways act as areas."""
     present = F.when(osm_id != 0, osm_id.cast("bigint"))

@@ -110,8 +110,7 @@ def c10(spark, folder):
 def c10_nearest(spark, folder):
     places = sample(spark, folder, "places").select(F.col("ord").alias("place_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     shot = sample(spark, folder, "photos").select("photo_id", "ord", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    near = photos.photos_near(places, shot, 1.0).withColumn("metres", F.round("metres", 3))
-    return rank.top_k(near, ["place_id"], [F.col("metres"), F.col("ord")], 5).select("place_id", "photo_id", "rn")
+    return photos.nearest_photos(places, shot, 1.0, 5).select("place_id", "photo_id", F.col("near_rank").alias("rn"))
 
 
 @query("d8_image_identity", using("photos") + """

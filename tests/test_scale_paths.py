@@ -159,6 +159,26 @@ def test_similar_pairs_in_tiles(spark):
     assert keep(one) == keep(many) and one.count() > 0
 
 
+@pytest.mark.parametrize("k", [1, 4, 40])
+def test_nearest_photos_everywhere(spark, k):
+    """Dense and sparse spots, piles at one point, the date line and a pole; few pairs where photos are dense."""
+    rng = random.Random(k)
+    spots = [(0.0, 179.9999, 0.0004), (60.0, -179.998, 0.004), (89.9995, 10.0, 0.001), (-45.0, 30.0, 0.02), (24.8, 67.0, 0.0001)]
+    near = lambda s: (max(-90.0, min(90.0, s[0] + rng.uniform(-1, 1) * s[2])), (s[1] + rng.uniform(-2, 2) * s[2] + 180) % 360 - 180)
+    places = [(i, *near(rng.choice(spots))) for i in range(40)]
+    shots = [(i, i, *(near(rng.choice(spots)) if i % 3 else (24.8, 67.0))) for i in range(600)]
+    want = set()
+    for p in places:
+        close = sorted((round(d, 3), s[1]) for s in shots if (d := metres(p[1:], s[2:])) <= 1000)
+        want |= {(p[0], o, n + 1) for n, (_, o) in enumerate(close[:k])}
+    frames = spark.createDataFrame(places, "place_id int, lat double, lon double"), spark.createDataFrame(shots, "photo_id int, ord int, lat double, lon double")
+    got = {(r.place_id, r.ord, r.near_rank) for r in photos.nearest_photos(*frames, 1.0, k).collect()}
+    assert got == want and want
+    radii = photos.search_radii(*frames, 1000, k).collect()
+    assert len(radii) == 40 and (k == 40 or min(r.radius for r in radii) < 100)
+    assert photos.nearest_photos(frames[0].limit(0), frames[1]).collect() == []
+
+
 @pytest.mark.parametrize("threshold,tile_rows", [(0.95, 16), (0.95, 1000), (0.8, 20), (-1.0, 30), (1.0, 25)])
 def test_near_pairs_against_all_pairs(spark, threshold, tile_rows):
     """Clusters, copies, opposite vectors and vectors without length, over two searches."""
