@@ -58,9 +58,10 @@ def matching_words(vocabulary: DataFrame, wanted: DataFrame, edge: int = EDGE) -
         edges = vocabulary.withColumn("edge", F.explode(F.transform(lengths, lambda n: cut(F.col("word"), n))))
         asked = of(kind).withColumn("edge", cut(F.col("token"), short))
         by_edge.append(asked.join(edges, "edge").where(holds(F.col("word"), F.col("token"))).select(F.lit(kind).alias("kind"), "token", "word", "texts"))
-    # A single word meets the vocabulary on the run that the fewest words have.
+    # A single word meets the vocabulary on the run that the fewest words have; only runs that are asked for are looked at.
+    asked = written(of("inside").where(F.length("token") >= GRAM).select("token", F.explode(_runs(F.col("token"))).alias("run")), "runs")
     runs = vocabulary.where(F.length("word") >= GRAM).select("word", "texts", F.explode(_runs(F.col("word"))).alias("run"))
-    asked = of("inside").where(F.length("token") >= GRAM).select("token", F.explode(_runs(F.col("token"))).alias("run"))
+    runs = runs.join(asked.select("run").distinct(), "run", "left_semi")
     common = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     rarest = asked.join(common, "run", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("best"))
     inside = rarest.select("token", "best.run").join(runs, "run").where(F.contains(F.col("word"), F.col("token"))).select(F.lit("inside").alias("kind"), "token", "word", "texts")
@@ -87,10 +88,12 @@ def mentions(docs: DataFrame, needles: DataFrame, edge: int = EDGE) -> DataFrame
     texts = rows.select(F.col("_row").alias("row"), F.lower("text").alias("low"))
     words = written(words_of_texts(texts), "words")
     vocabulary = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("texts")), "vocabulary")
-    names = words_of_names(needles)
-    matched = written(matching_words(vocabulary, names.select("kind", "token").distinct(), edge), "matched")
-    anchors = rarest_words(names, matched)
-    used = matched.join(anchors.select("kind", "token").distinct(), ["kind", "token"], "left_semi").select("kind", "token", "word")
+    names = written(words_of_names(needles), "names")
+    wanted = written(names.select("kind", "token").distinct(), "wanted")
+    matched = written(matching_words(vocabulary, wanted, edge), "matched")
+    # Written tables have a size that Spark knows, so small ones are broadcast and the words of the texts stay where they are.
+    anchors = written(rarest_words(names, matched), "anchors")
+    used = written(matched.join(anchors.select("kind", "token").distinct(), ["kind", "token"], "left_semi").select("kind", "token", "word"), "used")
     hits = words.join(used, "word").select("row", "kind", "token").distinct()
     candidates = hits.join(anchors, ["kind", "token"]).select(F.col("row").alias("_at"), "needle")
     return rows.join(candidates, (F.col("_row") == F.col("_at")) & F.contains(F.lower("text"), F.col("needle"))).drop("_row", "_at")

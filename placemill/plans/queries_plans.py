@@ -1,15 +1,13 @@
-"""Registered end-to-end queries: top places, whole searches, whole runs."""
+"""Registered end-to-end queries: top places, whole runs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from placemill.plans import batch, search
-from placemill.plans.queries_jobs import _ENTITY, _gazetteer_rows
 from placemill.plans.queries_places import FOLD, SCORED
 from placemill.plans.registry import query
-from placemill.plans.samples import places_with_tags, rich_elements, sample, table, using
-from placemill.sources import readers
+from placemill.plans.samples import places_with_tags, sample, using
 
 
 @query("top_places_per_search", using("places") + f", s as ({SCORED}){FOLD}" + """
@@ -19,32 +17,6 @@ def top_places(spark, folder):
     return search.top_places(places_with_tags(spark, folder)).select("search_id", "ord", "segments", "score", "place_rank")
 
 
-def _searches(spark, folder):
-    """One search per map region of the sample, its keyword by number."""
-    ids = sample(spark, folder, "rich").select("search_id").distinct()
-    words = F.array(*[F.lit(w) for w in ("museums", "banks", "fast food", "theatre", "art house")])
-    return ids.select(
-        "search_id", F.element_at(words, (F.col("search_id") + 1).cast("int")).alias("keyword"), F.concat(F.lit("City "), "search_id").alias("city"),
-        F.lit("Pakistan").alias("country"), F.lit("pk").alias("country_code"),
-    )
-
-
-def _run(spark, folder):
-    entities = readers.entity_places(table(spark, folder, "part").selectExpr(*_ENTITY), F.lit("Place"), F.lit("custom"))
-    gazetteer = readers.gazetteer_places(_gazetteer_rows(spark, folder))
-    photos = sample(spark, folder, "photos")
-    return search.run_searches(
-        _searches(spark, folder), rich_elements(spark, folder), entities, gazetteer, sample(spark, folder, "labels_of"),
-        photos=photos, settings=search.Settings(limit=50),
-    )
-
-
-@query("search_results")
-def search_results(spark, folder):
-    out = _run(spark, folder)["results"]
-    return out.select("search_id", "place_rank", "place_id", "name", "quality", "summary", "osm_url")
-
-
 @query("region_runs", using("sheet", "claims") + """
 , f as (select *, last_value(nullif(trim(country), '') ignore nulls) over (order by ord rows unbounded preceding) as filled from fx_sheet),
 t as (select ord * 2 as ord, filled as country, 'city' as kind, nullif(trim(city), '') as region from f union all select ord * 2 + 1, filled, 'province', nullif(trim(province), '') from f),
