@@ -9,12 +9,12 @@ from placemill import dims
 from placemill.functions import geo
 from placemill.functions.tags import information_score, is_branded, is_chain_like, set_tag
 from placemill.functions.text import name_key
-from placemill.functions.vectors import cosine
+from placemill.functions.vectors import cosine, dot
 from placemill.operators.components import connected_components
 from placemill.operators.merge import EVENTS_PER_ROUND, MAX_GROUP, ordered_merge
 from placemill.operators.rank import first_per
 from placemill.operators.vector_pairs import TILE, near_pairs
-from placemill.session import cut
+from placemill.session import cut, written
 
 def _place_struct(df: DataFrame, flag) -> Column:
     score = information_score(F.col("tags"), F.col("osm_type"))
@@ -128,11 +128,16 @@ def semantic_dedupe(
     """Ordered fold by vector similarity; branded, vectorless and unmatched rows pass through.
 
     A record can only join one whose vector belongs to a row it is paired with,
-    so each connected set of pairs folds on its own.
+    so each connected set of pairs folds on its own. Rows of one vector hang on
+    their first one, which alone is compared with other vectors.
     """
-    pairs = cut(similar_pairs(places, threshold, tile_rows))
+    usable = places.where(~is_branded(F.col("tags")) & (dot(F.col("vector"), F.col("vector")) > 0)).select("search_id", "ord", "vector")
+    firsts = written(usable.groupBy("search_id", "vector").agg(F.min("ord").alias("first")), "first-vectors")
     node = lambda c: F.xxhash64("search_id", c)
-    parts = connected_components(pairs.select(node("ord_a").alias("u"), node("ord_b").alias("v")))
+    copies = usable.join(firsts, ["search_id", "vector"]).where("ord <> first").select(node("first").alias("u"), node("ord").alias("v"))
+    pairs = near_pairs(firsts.select("search_id", F.col("first").alias("ord"), "vector"), threshold, tile_rows)
+    edges = copies.unionByName(pairs.select(node("ord_a").alias("u"), node("ord_b").alias("v")))
+    parts = connected_components(edges)
     rows = places.withColumn("node", node("ord")).join(parts, "node", "left").drop("node")
     alone = F.col("component").isNull() | is_branded(F.col("tags")) | F.col("vector").isNull()
     single = rows.where(alone).drop("component").withColumn("merged", F.lit(1).cast("bigint")).withColumn("first_ord", F.col("ord"))

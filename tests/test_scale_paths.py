@@ -202,6 +202,24 @@ def test_near_pairs_against_all_pairs(spark, threshold, tile_rows):
     assert share[1] < 0.5 if threshold == 0.95 and tile_rows == 16 else share[1] <= 1
 
 
+def test_semantic_fold_with_many_copies(spark):
+    """Rows equally rich: each joins the first kept one that is near; a third of all rows share one vector."""
+    rng = random.Random(21)
+    vectors = [[rng.gauss(0, 1) for _ in range(3)] for _ in range(12)]
+    rows = [(1, i, f"n{i}", vectors[0] if i % 3 == 1 else [c + rng.gauss(0, 0.2) for c in rng.choice(vectors)] if i % 7 else None) for i in range(150)]
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    kept = []
+    for _, i, _, v in rows:
+        near = [k for k in kept if v and k[1] and cos(k[1], v) >= 0.9]
+        if near:
+            near[0][2] += 1
+        else:
+            kept.append([i, v, 1])
+    df = spark.createDataFrame([(s, i, "node", {"name": n}, v) for s, i, n, v in rows], "search_id bigint, ord bigint, osm_type string, tags map<string,string>, vector array<double>")
+    got = resolve.semantic_dedupe(df, 0.9, tile_rows=20)
+    assert sorted((r.ord, r.merged) for r in got.collect()) == sorted((i, n) for i, _, n in kept)
+
+
 def test_mentions_by_short_and_long_edges(spark):
     docs = spark.createDataFrame([(1, "The Old Art Gallery and smart gallery park"), (2, "x"), (3, "ÉCOLE park")], "doc_id bigint, text string")
     places = spark.createDataFrame([(1, "art gallery"), (2, "PARK"), (3, "école"), (4, "zz"), (5, "the old art gallery and smart")], "place_id bigint, name string")
