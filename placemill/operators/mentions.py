@@ -95,5 +95,6 @@ def mentions(docs: DataFrame, needles: DataFrame, edge: int = EDGE) -> DataFrame
     anchors = written(rarest_words(names, matched), "anchors")
     used = written(matched.join(anchors.select("kind", "token").distinct(), ["kind", "token"], "left_semi").select("kind", "token", "word"), "used")
     hits = words.join(used, "word").select("row", "kind", "token").distinct()
-    candidates = hits.join(anchors, ["kind", "token"]).select(F.col("row").alias("_at"), "needle")
+    # Written, so that the words' shuffle is gone when the texts move.
+    candidates = written(hits.join(anchors, ["kind", "token"]).select(F.col("row").alias("_at"), "needle"), "candidates")
     return rows.join(candidates, (F.col("_row") == F.col("_at")) & F.contains(F.lower("text"), F.col("needle"))).drop("_row", "_at")

@@ -83,13 +83,18 @@ def rank_images(photos: DataFrame, keys: list[str], per_place: int = dims.IMAGES
 
 
 def claim_across_places(photos: DataFrame, keys: list[str]) -> DataFrame:
-    """Pictures tied to a place by an explicit link stay; any other file appears once, with the best-ranked place."""
+    """Pictures tied to a place by an explicit link stay; any other file appears once, with the best-ranked place.
+
+    One aggregate per file says whether a link owns it and which row comes first;
+    rows that equal the first one in rank and arrival are all kept.
+    """
     photos = photos.withColumn("identity", image_identity(F.col("url")))
-    explicit = F.col("source").isin(dims.PLACE_SPECIFIC_SOURCES)
-    owned = photos.where(explicit)
-    claimed = owned.select(*keys, "identity").distinct()
-    free = photos.where(~explicit).join(claimed, [*keys, "identity"], "left_anti")
-    return owned.unionByName(first_per(free, [*keys, "identity"], [F.col("place_rank"), *_arrival(photos)]))
+    explicit = F.coalesce(F.col("source").isin(dims.PLACE_SPECIFIC_SOURCES), F.lit(False))
+    place = F.struct("place_rank", *_arrival(photos))
+    file = [*keys, "_file"]
+    photos = photos.withColumn("_file", F.coalesce("identity", F.lit("")))
+    claims = photos.groupBy(*file).agg(F.max(explicit).alias("_owned"), F.min(place).alias("_first"))
+    return photos.join(claims, file).where(explicit | (~F.col("_owned") & (place == F.col("_first")))).drop("_file", "_owned", "_first")
 
 
 def waterfall_union(photos: DataFrame, per_place: int = dims.IMAGES_PER_PLACE) -> DataFrame:

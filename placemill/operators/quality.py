@@ -104,6 +104,13 @@ def duplicate_totals(merged: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_summary(totals: DataFrame, most_notes: int = 5) -> DataFrame:
+    """One row over all groups of ``duplicate_totals``: groups, places merged, and the first notes in order of search."""
+    first = totals.where(F.col("note").isNotNull()).orderBy("search_id").limit(most_notes)
+    notes = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("search_id", "note"))), lambda n: n["note"]).alias("notes"))
+    return totals.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("merged"), F.lit(0)).alias("merged")).join(notes)
+
+
 def progress_totals(rows: DataFrame) -> DataFrame:
     """Run progress over region rows (status, place_count)."""
     return rows.agg(
@@ -112,14 +119,29 @@ def progress_totals(rows: DataFrame) -> DataFrame:
     )
 
 
-def region_outcomes(found: DataFrame, claimed: DataFrame) -> DataFrame:
-    """Places exported and duplicates skipped per region, with its status line."""
+def region_outcomes(found: DataFrame, claimed: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """(region_ord, place_count, duplicates_skipped, status, note): how each region ended.
+
+    ``regions`` (region_ord, region, and where known ``error`` and ``skipped``) adds the
+    regions that found nothing: one with an error has failed, one skipped was not
+    searched, all others are done. The note says why a region has nothing to write, or
+    how many places other regions had already. Without ``regions`` only those that found places are
+    listed, without notes.
+    """
     total = found.groupBy("region_ord").agg(F.count_distinct("place_id").alias("matches"))
     fresh = claimed.groupBy("region_ord").agg(F.count(F.lit(1)).alias("place_count"))
-    rows = total.join(fresh, "region_ord", "left").fillna({"place_count": 0})
-    return rows.select(
-        "region_ord", "place_count", (F.col("matches") - F.col("place_count")).alias("duplicates_skipped"), F.lit("done").alias("status")
-    )
+    rows = total.join(fresh, "region_ord", "left")
+    if regions is not None:
+        rows = regions.join(rows, "region_ord", "left")
+    rows = rows.fillna({"place_count": 0, "matches": 0}).withColumn("duplicates_skipped", F.col("matches") - F.col("place_count"))
+    known = lambda c, none: F.col(c) if c in rows.columns else F.lit(none)
+    status = F.when(known("error", None).isNotNull(), "failed").when(F.coalesce(known("skipped", False), F.lit(False)), "skipped").otherwise("done")
+    said = F.when(F.col("duplicates_skipped") > 0, F.when(F.col("place_count") == 0, "every match was already exported elsewhere; nothing new to write.").otherwise(
+        F.concat(F.lit("skipped "), F.col("duplicates_skipped").cast("string"), F.lit(" place(s) already exported for another region in this run."))
+    )).when(F.col("place_count") == 0, "no matching places found; nothing exported.")
+    note = F.when(status == "done", F.concat(known("region", None), F.lit(": "), said))
+    kept = [c for c in ("region", "country", "error") if regions is not None and c in regions.columns]
+    return rows.select("region_ord", *kept, "place_count", "duplicates_skipped", status.alias("status"), note.alias("note"))
 
 
 def result_bounds(places: DataFrame, areas: DataFrame | None = None, pad: float = 0.02) -> DataFrame:

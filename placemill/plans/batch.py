@@ -18,12 +18,13 @@ def export_regions(
 ) -> dict[str, DataFrame]:
     """Claims, manifest, outcomes and report of a run.
 
-    ``results``: region_ord, place_id, place_rank, osm_id, name; ``regions``: region_ord, country, region.
+    ``results``: region_ord, place_id, place_rank, osm_id, name; ``regions``: region_ord, country, region, and
+    where known ``error`` and ``skipped``, from which a region's status follows.
     """
     found = results.select("region_ord", "place_id")
     claimed = found.distinct() if allow_duplicates else resolve.claim_across_regions(found, exported)
     fresh = results.join(claimed, ["region_ord", "place_id"]).join(regions.select("region_ord", "country", F.col("region").alias("city")), "region_ord")
     manifest = export.export_manifest(fresh.withColumn("ord", F.col("place_rank")), photos)
-    outcomes = regions.join(quality.region_outcomes(found, claimed), "region_ord", "left").withColumn("status", F.lit("done"))
-    outcomes = outcomes.fillna({"place_count": 0, "duplicates_skipped": 0}).withColumn("error", F.lit(None).cast("string"))
+    ended = regions if "error" in regions.columns else regions.withColumn("error", F.lit(None).cast("string"))
+    outcomes = quality.region_outcomes(found, claimed, ended)
     return {"claims": claimed, "manifest": manifest, "outcomes": outcomes, "report": export.run_report(outcomes, claimed)}

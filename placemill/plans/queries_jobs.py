@@ -352,6 +352,15 @@ def e6(spark, folder):
     return quality.duplicate_totals(resolve.semantic_dedupe(_vector_places(spark, folder), _THRESHOLD))
 
 
+@query("e6_duplicate_summary", _VFOLD + """
+, t as (select search_id, sum(merged - 1)::bigint as merged from merged group by 1),
+n as (select concat('Merged ', merged, ' near-duplicate place name(s).') as note, search_id from t where merged > 0 order by search_id limit 5)
+select count(*) as groups, sum(merged)::bigint as merged, (select string_agg(note, '|' order by search_id) from n) as notes from t""")
+def e6_summary(spark, folder):
+    totals = quality.duplicate_totals(resolve.semantic_dedupe(_vector_places(spark, folder), _THRESHOLD))
+    return quality.duplicate_summary(totals).select("groups", "merged", F.array_join("notes", "|").alias("notes"))
+
+
 @query("i29_cosine", "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def i29(spark, folder):
     e = table(spark, folder, "embeddings")
