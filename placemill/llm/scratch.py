@@ -15,7 +15,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         """``df`` written and read back."""
@@ -29,11 +29,13 @@ class Scratch:
             else:
                 self.spark.conf.set(CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.tables.append((out, path))
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that ``keep`` gave; nothing may read them any more."""
-        for table in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
+        gone = [path for table, path in self.tables if any(table is t for t in tables)]
+        self.tables = [(table, path) for table, path in self.tables if path not in gone]
+        for name in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
