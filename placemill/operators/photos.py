@@ -170,15 +170,19 @@ def photos_near(places: DataFrame, photos: DataFrame, km: float = 1.0) -> DataFr
     return near.where(F.col("metres") <= metres).drop("_row", "_col", "_lat", "_lon", "_cos", "_plat", "_plon", "_pcos", "_half")
 
 
-def _cells(lat: Column, lon: Column, level: int, metres: float) -> Column:
-    size = metres / 2**level
-    row = geo.lat_cell(lat, size)
-    return F.struct(F.lit(level).alias("level"), row.alias("row"), geo.lon_cell(lon, row, size).alias("col"))
+def _at_levels(rows: DataFrame, levels: list[int], metres: float) -> DataFrame:
+    """``rows`` once for each level, with its ``level`` and the ``size`` of its cells."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(metres / 2**n).alias("size")) for n in levels]))
+    return rows.withColumn("_at", each).withColumns({"level": F.col("_at.level"), "size": F.col("_at.size")}).drop("_at")
 
 
-def _cells_around(lat: Column, lon: Column, level: int, metres: float) -> Column:
-    around = geo.neighbour_cells(lat, lon, metres / 2**level)
-    return F.transform(around, lambda c: F.struct(F.lit(level).alias("level"), c["row"].alias("row"), c["col"].alias("col")))
+def _cell(lat: Column, lon: Column) -> Column:
+    row = geo.lat_cell(lat, F.col("size"))
+    return F.struct("level", row.alias("row"), geo.lon_cell(lon, row, F.col("size")).alias("col"))
+
+
+def _cells_around(lat: Column, lon: Column) -> Column:
+    return F.transform(geo.neighbour_cells(lat, lon, F.col("size")), lambda c: F.struct("level", c["row"].alias("row"), c["col"].alias("col")))
 
 
 def search_radii(places: DataFrame, photos: DataFrame, metres: float, per_place: int, levels: int = LEVELS) -> DataFrame:
@@ -186,15 +190,14 @@ def search_radii(places: DataFrame, photos: DataFrame, metres: float, per_place:
 
     Rings of cells are halved in size from ``metres`` on. The smallest ring around a
     place that holds as many photos, by the counts of its cells, bounds the distance of
-    the last one wanted; ``level`` is that of the smallest cells that tall.
+    the last one wanted; ``level`` is that of the smallest cells that tall. Levels are
+    rows, so the plan does not grow with them.
     """
     lat, lon = F.col("lat"), F.col("lon")
-    counts = photos.select(F.explode(F.array(*[_cells(lat, lon, n, metres) for n in range(levels)])).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    around = places.select("place_id", lat, lon, F.explode(F.flatten(F.array(*[_cells_around(lat, lon, n, metres) for n in range(levels)]))).alias("cell"))
-    rings = around.join(counts, "cell").groupBy("place_id", "lat", "lon", F.col("cell.level").alias("ring")).agg(F.sum("n").alias("n")).where(F.col("n") >= per_place)
-    reach = F.lit(float(metres))
-    for n in range(levels):
-        reach = F.when(F.col("ring") == n, F.least(F.lit(float(metres)), geo.ring_reach(lat, metres / 2**n) + 0.01)).otherwise(reach)
+    counts = _at_levels(photos.select("lat", "lon"), range(levels), metres).groupBy(_cell(lat, lon).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    around = _at_levels(places.select("place_id", "lat", "lon"), range(levels), metres).withColumn("cell", F.explode(_cells_around(lat, lon)))
+    rings = around.join(counts, "cell").groupBy("place_id", "lat", "lon", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= per_place)
+    reach = F.least(F.lit(float(metres)), geo.ring_reach(lat, F.col("size")) + 0.01)
     smallest = rings.groupBy("place_id", "lat", "lon").agg(F.min(reach).alias("radius"))
     radii = places.select("place_id", "lat", "lon").join(smallest, ["place_id", "lat", "lon"], "left").withColumn("radius", F.coalesce("radius", F.lit(float(metres))))
     return radii.withColumn("level", F.least(F.lit(levels - 1), F.floor(F.log2(F.lit(float(metres)) / F.col("radius")))).cast("int"))
@@ -203,24 +206,28 @@ def search_radii(places: DataFrame, photos: DataFrame, metres: float, per_place:
 def nearest_photos(places: DataFrame, photos: DataFrame, km: float = 1.0, per_place: int = 30) -> DataFrame:
     """The ``per_place`` nearest photos of each place within ``km``, numbered by distance to the millimetre, then by ``ord``.
 
-    Places where photos are dense look only as far as their counts ask, and of photos
-    at one spot only the first can be among the nearest, so the pairs made follow
-    ``per_place`` and not the density.
+    Places where photos are dense look only as far as their counts ask, places at one
+    spot look once, and of photos at one spot only the first can be among the nearest,
+    so the pairs made follow ``per_place`` and not the density.
     """
     metres = round(km * 1000)
     if metres > 10_000:
         raise ValueError("the radius is 10 km at most")
     lat, lon = F.col("lat"), F.col("lon")
     piled = top_k(photos, ["lat", "lon"], [F.col("ord")], per_place, out="_pile").drop("_pile")
-    radii = written(search_radii(places.distinct(), piled, metres, per_place), "radii")
+    spots = places.groupBy("lat", "lon").agg(F.min("place_id").alias("place_id"))
+    radii = written(search_radii(spots, piled, metres, per_place), "radii")
     used = sorted(r["level"] for r in radii.select("level").distinct().collect())  # LEVELS at most
     if not used:
         return photos_near(places, photos, km).withColumn("near_rank", F.lit(1)).limit(0)
-    around = F.coalesce(*[F.when(F.col("level") == n, _cells_around(lat, lon, n, metres)) for n in used])
-    asked = radii.select("place_id", lat.alias("_lat"), lon.alias("_lon"), "radius", F.explode(around).alias("_cell"))
-    pairs = asked.join(piled.withColumn("_cell", F.explode(F.array(*[_cells(lat, lon, n, metres) for n in used]))), "_cell")
+    asked = radii.withColumn("size", F.lit(float(metres)) / F.pow(F.lit(2.0), F.col("level"))).withColumn("_cell", F.explode(_cells_around(lat, lon)))
+    asked = asked.select("place_id", lat.alias("_lat"), lon.alias("_lon"), "radius", "_cell")
+    shot = _at_levels(piled, used, metres).withColumn("_cell", _cell(lat, lon)).drop("level", "size")
+    pairs = asked.join(shot, "_cell")
     pairs = pairs.withColumn("metres", F.round(geo.haversine_m(F.col("_lat"), F.col("_lon"), lat, lon), 3)).where((F.col("metres") <= F.col("radius")) & (F.col("metres") <= metres))
-    return top_k(pairs.drop("_cell", "_lat", "_lon", "radius"), ["place_id"], [F.col("metres"), F.col("ord")], per_place, out="near_rank")
+    found = top_k(pairs.drop("_cell", "radius", "place_id"), ["_lat", "_lon"], [F.col("metres"), F.col("ord")], per_place, out="near_rank").drop("near_rank")
+    each = places.select("place_id", lat.alias("_lat"), lon.alias("_lon")).distinct().join(found, ["_lat", "_lon"]).drop("_lat", "_lon")
+    return top_k(each, ["place_id"], [F.col("metres"), F.col("ord")], per_place, out="near_rank")
 
 
 def entity_photos(places: DataFrame, claims: DataFrame, files: DataFrame) -> DataFrame:
