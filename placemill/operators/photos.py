@@ -170,6 +170,22 @@ def photos_near(places: DataFrame, photos: DataFrame, km: float = 1.0) -> DataFr
     return near.where(F.col("metres") <= metres).drop("_row", "_col", "_lat", "_lon", "_cos", "_plat", "_plon", "_pcos", "_half")
 
 
+def photo_totals(places: DataFrame, photos: DataFrame, km: float = 1.0) -> DataFrame:
+    """(place_id, n, photo_ids, metres): how many photos lie within ``km`` of each place that has any, the sum of their ids and of their distances.
+
+    Photos at one spot are counted and places at one spot looked up once, so the
+    pairs made are pairs of spots, however many rows lie on them.
+    """
+    piles = photos.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"), F.sum("photo_id").alias("photo_ids"))
+    spots = places.select("lat", "lon").distinct().withColumn("place_id", F.struct("lat", "lon"))
+    near = photos_near(spots, piles, km).groupBy("place_id").agg(
+        F.sum("n").alias("n"), F.sum("photo_ids").alias("photo_ids"), F.sum(F.col("metres") * F.col("n")).alias("metres")
+    )
+    near = near.select(F.col("place_id.lat").alias("lat"), F.col("place_id.lon").alias("lon"), "n", "photo_ids", "metres")
+    each = places.select("place_id", "lat", "lon").join(near, ["lat", "lon"])
+    return each.groupBy("place_id").agg(F.sum("n").alias("n"), F.sum("photo_ids").alias("photo_ids"), F.sum("metres").alias("metres"))
+
+
 def _at_levels(rows: DataFrame, levels: list[int], metres: float) -> DataFrame:
     """``rows`` once for each level, with its ``level`` and the ``size`` of its cells."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(metres / 2**n).alias("size")) for n in levels]))

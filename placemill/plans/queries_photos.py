@@ -101,8 +101,7 @@ _NEAR = using("places", "photos") + f"""
 def c10(spark, folder):
     places = sample(spark, folder, "places").select(F.col("ord").alias("place_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
     shot = sample(spark, folder, "photos").select("photo_id", "ord", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    near = photos.photos_near(places, shot, 1.0)
-    return near.groupBy("place_id").agg(F.count(F.lit(1)).alias("n"), F.sum("photo_id").alias("photo_ids"), F.round(F.sum("metres"), 3).alias("metres"))
+    return photos.photo_totals(places, shot, 1.0).withColumn("metres", F.round("metres", 3))
 
 
 @query("c10_nearest_photos", _NEAR + """

@@ -40,3 +40,18 @@ def test_nearest_photos_of_places_at_one_spot(spark):
     got = photos.nearest_photos(positions(spark, places, "place_id"), positions(spark, shots, "photo_id"), 1.0, 4)
     assert {(r.place_id, r.ord, r.near_rank) for r in got.collect()} == want
 
+
+def test_photo_totals_count_spots_once(spark):
+    """10,000 places on one spot and 10,000 photos on another are one pair; totals equal brute force."""
+    rng = random.Random(5)
+    places = [(i, i, 24.8 + rng.randrange(4) * 0.004, 67.0) for i in range(30)]
+    shots = [(i, i, 24.8 + rng.randrange(5) * 0.005, 67.0 + rng.randrange(2) * 0.003) for i in range(200)]
+    want = {}
+    for p in places:
+        near = [(s[0], d) for s in shots if (d := metres(p[2:], s[2:])) <= 1000]
+        want[p[0]] = (len(near), sum(i for i, _ in near), round(sum(d for _, d in near), 3))
+    got = photos.photo_totals(positions(spark, places, "place_id"), positions(spark, shots, "photo_id")).collect()
+    assert {r.place_id: (r.n, r.photo_ids, round(r.metres, 3)) for r in got} == want
+    pile = lambda name, lat: spark.range(10_000).select(F.col("id").alias(name), F.col("id").alias("ord"), F.lit(lat).alias("lat"), F.lit(67.0).alias("lon"))
+    big = photos.photo_totals(pile("place_id", 24.8), pile("photo_id", 24.801))
+    assert big.agg(F.count(F.lit(1)), F.min("n"), F.max("n")).first() == (10_000, 10_000, 10_000)
