@@ -99,18 +99,18 @@ def label_from_types(types: Column, fallback: str = "Place") -> Column:
     return F.struct(F.coalesce(specific, F.lit("custom")).alias("id"), F.coalesce(label, F.lit(fallback)).alias("label"))
 
 
+# What a record gains for details that are present, any of the keys.
+INFORMATION_POINTS = (
+    (("wikidata",), 8), (("wikipedia",), 6), (("website", "contact:website"), 4), (("phone", "contact:phone"), 4), (("description",), 3), (("addr:street",), 2),
+)
+
+
 def information_score(tags: Column, osm_type: Column) -> Column:
     """How richly a record is described."""
-    return (
-        F.size(tags)
-        + points(has(tags, "wikidata"), 8)
-        + points(has(tags, "wikipedia"), 6)
-        + points(has(tags, "website", "contact:website"), 4)
-        + points(has(tags, "phone", "contact:phone"), 4)
-        + points(has(tags, "description"), 3)
-        + points(has(tags, "addr:street"), 2)
-        + points(osm_type != "node", 1)
-    )
+    score = F.size(tags)
+    for keys, n in INFORMATION_POINTS:
+        score = score + points(has(tags, *keys), n)
+    return score + points(osm_type != "node", 1)
 
 
 def heuristic_score(tags: Column, osm_type: Column) -> Column:

@@ -3,10 +3,11 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from placemill.functions import geo
-from placemill.operators import photos
+from placemill.operators import photos, resolve, vector_fold
 
 
 def metres(a, b):
@@ -55,3 +56,42 @@ def test_photo_totals_count_spots_once(spark):
     pile = lambda name, lat: spark.range(10_000).select(F.col("id").alias(name), F.col("id").alias("ord"), F.lit(lat).alias("lat"), F.lit(67.0).alias("lon"))
     big = photos.photo_totals(pile("place_id", 24.8), pile("photo_id", 24.801))
     assert big.agg(F.count(F.lit(1)), F.min("n"), F.max("n")).first() == (10_000, 10_000, 10_000)
+
+
+@pytest.mark.parametrize("max_group,batch", [(20_000, 500), (2, 3)])
+def test_semantic_fold_along_pairs(spark, max_group, batch):
+    """One slice or many: faces, first rows, counts and tags of a plain fold over all records, where richer rows replace vectors."""
+    rng = random.Random(8)
+    centres = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(5)]
+    kinds = ["wikidata", "wikipedia", "website", "phone", "description", "note", "fax"]
+    rows = []
+    for i in range(160):
+        tags = {k: rng.choice(["", f"{k}{i}", f"{k}{i}"]) for k in rng.sample(kinds, rng.randrange(len(kinds)))}
+        vector = rng.choice(rows)[4] if rows and i % 5 == 0 else [c + rng.gauss(0, 0.35) for c in rng.choice(centres)]
+        rows.append((i % 2, i, rng.choice(["node", "way", None]), tags | {"name": f"n{i}"}, vector))
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    gain = [(("wikidata",), 8), (("wikipedia",), 6), (("website",), 4), (("phone",), 4), (("description",), 3)]
+    score = lambda t, kind: len(t) + sum(n for keys, n in gain if any(t.get(k) for k in keys)) + (kind == "way")
+    kept = []
+    for s, i, kind, tags, v in rows:
+        old = next((k for k in kept if k["s"] == s and cos(k["v"], v) >= 0.9), None)
+        if old is None:
+            kept.append({"s": s, "ord": i, "first": i, "n": 1, "v": v, "kind": kind, "tags": tags})
+            continue
+        old["n"] += 1
+        if score(tags, kind) > score(old["tags"], old["kind"]):
+            old |= {"ord": i, "v": v, "kind": kind, "tags": old["tags"] | tags}
+        else:
+            old["tags"] = tags | old["tags"]
+    df = spark.createDataFrame(rows, "search_id bigint, ord bigint, osm_type string, tags map<string,string>, vector array<double>")
+    got = resolve.semantic_dedupe(df, 0.9, max_group=max_group, batch=batch).collect()
+    plain = lambda *r: (*r[:-1], tuple(sorted(r[-1].items())))
+    assert sorted(plain(r.search_id, r.ord, r.first_ord, r.merged, r.tags) for r in got) == sorted(plain(k["s"], k["ord"], k["first"], k["n"], k["tags"]) for k in kept)
+    assert 20 < len(kept) < 150 and any(k["ord"] != k["first"] for k in kept)
+
+
+def test_slices_double(spark):
+    """The rounds of a large set grow with the logarithm of its rows, not with rows over the batch."""
+    rows = spark.range(2000).select(F.lit(1).alias("search_id"), F.lit(7).alias("component"), F.col("id").alias("ord"))
+    sizes = [r.n for r in vector_fold.sliced(rows, 2, 4, most=256).groupBy("slice").agg(F.count(F.lit(1)).alias("n")).orderBy("slice").collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 256 and len(sizes) <= 14
