@@ -5,12 +5,10 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from placemill.functions.text import CJK, clean_text, is_mostly_non_latin, opt, trimmed
+from placemill.functions.text import CJK, TEXT, TEXTS, bind, clean_text, is_mostly_non_latin, opt, per_value, trimmed
 
 # The tags that wrap a model's reasoning, field limits of a record.
 REASONING = "think|thinking|reasoning"
@@ -32,6 +30,7 @@ def clean_completion(raw: Column) -> Column:
 
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\\?\Z)|[{}]', re.S)
+_ARRAY = re.compile(r"\[.*\]", re.S)
 _NOTE = re.compile(r'("(?:[^"\\]|\\.)*(?:"|\\?\Z))|//[^\n]*(?:\n|\Z)|/\*.*?(?:\*/|\Z)', re.S)
 
 
@@ -58,9 +57,7 @@ def balanced_objects(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def scan_objects(text: pd.Series) -> pd.Series:
-    return text.map(balanced_objects, na_action="ignore")
+scan_objects = per_value(balanced_objects, *TEXTS)
 
 
 def _last_wins(text: str) -> str | None:
@@ -70,9 +67,7 @@ def _last_wins(text: str) -> str | None:
         return None
 
 
-@F.pandas_udf(T.StringType())
-def _without_repeats(text: pd.Series) -> pd.Series:
-    return text.map(_last_wins, na_action="ignore")
+_without_repeats = per_value(_last_wins, *TEXT)
 
 
 def plain_json(text: Column) -> Column:
@@ -81,15 +76,22 @@ def plain_json(text: Column) -> Column:
     return F.when(native, text).otherwise(_without_repeats(F.when(~native & text.contains('"'), text)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def scan_plain_objects(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [_last_wins(o) for o in balanced_objects(t)], na_action="ignore")
+def _read_anew(text: str) -> list[str | None]:
+    """Of a response that is no plain JSON: its outermost array if that is JSON with repeated keys, then all balanced objects, each key with its last value."""
+    whole = _ARRAY.search(text)
+    listed = _last_wins(whole[0]) if whole and '"' in whole[0] else None
+    return [listed, *(_last_wins(o) for o in (balanced_objects(text) if "{" in text else ()))]
 
 
-@F.pandas_udf(T.StringType())
-def _drop_comments(text: pd.Series) -> pd.Series:
-    plain = lambda m: m[1] or ("\n" if m[0].startswith("//") else "")
-    return text.map(lambda t: _NOTE.sub(plain, t), na_action="ignore")
+# Stands once in an expression; so marked, Spark does not copy it into filters, and a task has one Python worker for it.
+_read_again = per_value(_read_anew, *TEXTS).asNondeterministic()
+
+
+def _bare(text: str) -> str:
+    return _NOTE.sub(lambda m: m[1] or ("\n" if m[0].startswith("//") else ""), text)
+
+
+_drop_comments = per_value(_bare, *TEXT)
 
 
 def strip_json_comments(c: Column) -> Column:
@@ -101,10 +103,14 @@ def strip_json_comments(c: Column) -> Column:
 def parse_records(raw: Column) -> Column:
     """Array of VARIANT records: the outermost array, else every balanced object."""
     text = clean_completion(raw)
-    whole = F.regexp_extract(text, r"(?s)\[.*\]", 0)
-    listed = F.try_variant_get(F.try_parse_json(plain_json(opt(whole))), "$", "array<variant>")
-    loose = scan_plain_objects(F.when(listed.isNull() & text.contains("{"), text))
-    return F.coalesce(listed, F.transform(loose, lambda o: F.try_parse_json(o)))
+    array = lambda t: F.try_variant_get(F.try_parse_json(t), "$", "array<variant>")
+    native = array(opt(F.regexp_extract(text, r"(?s)\[.*\]", 0)))
+    again = _read_again(F.when(native.isNull(), text))
+    loose = lambda r: F.transform(F.slice(r, 2, F.greatest(F.size(r), F.lit(1))), lambda o: F.try_parse_json(o))
+    return bind(
+        F.struct(native.alias("native"), again.alias("again"), text.contains("{").alias("objects")),
+        lambda p: F.coalesce(p["native"], array(p["again"][0]), F.when(p["objects"], loose(p["again"]))),
+    )
 
 
 def _kind(v: Column, field: str) -> Column:
@@ -179,19 +185,14 @@ def prose(value, nested: bool = False) -> str:
     return "" if value is None else str(value).strip()
 
 
-@F.pandas_udf(T.StringType())
-def to_prose(value: pd.Series) -> pd.Series:
-    """Prose of a JSON text."""
-    return value.map(lambda v: prose(json.loads(v)), na_action="ignore")
-
+def _items(text: str) -> list[str] | None:
+    parsed = json.loads(text)
+    return [t for t in (prose(v, True) for v in parsed) if len(t) > 2] if isinstance(parsed, list) else None
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _listed(value: pd.Series) -> pd.Series:
-    def items(text: str):
-        parsed = json.loads(text)
-        return [t for t in (prose(v, True) for v in parsed) if len(t) > 2] if isinstance(parsed, list) else None
 
-    return value.map(items, na_action="ignore")
+# Prose of a JSON text.
+to_prose = per_value(lambda v: prose(json.loads(v)), *TEXT)
+_listed = per_value(_items, *TEXTS)
 
 
 def to_bullets(value: Column) -> Column:

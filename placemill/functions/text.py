@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,18 +52,25 @@ def clean_text(c: Column, limit: int | None = None) -> Column:
     return F.coalesce(F.substring(c, 1, limit) if limit else c, F.lit(""))
 
 
-def _normaliser(form: str):
-    @F.pandas_udf(T.StringType())
-    def normalise(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: unicodedata.normalize(form, v), na_action="ignore")
+def per_value(step, kind: T.DataType, arrow: pa.DataType):
+    """A column function from ``step`` on one text; nulls stay. Values go through Arrow one by one, not as a column of Python objects."""
 
-    return normalise
+    @F.arrow_udf(kind)
+    def each(values: pa.Array) -> pa.Array:
+        return pa.array((None if v is None else step(v) for v in (x.as_py() for x in values)), arrow, size=len(values))
+
+    return each
+
+
+TEXT = (T.StringType(), pa.string())
+TEXTS = (T.ArrayType(T.StringType()), pa.list_(pa.string()))
 
 
 def unicode_norm(c: Column, form: str) -> Column:
     """Unicode normal form; ASCII values never reach Python's normaliser."""
-    wide = c.rlike(r"[^\x00-\x7F]")
-    return F.coalesce(_normaliser(form)(F.when(wide, c)), c)
+    normalise = per_value(lambda v: unicodedata.normalize(form, v), *TEXT)
+    pair = F.struct(c.alias("plain"), normalise(F.when(c.rlike(r"[^\x00-\x7F]"), c)).alias("wide"))
+    return bind(pair, lambda p: F.coalesce(p["wide"], p["plain"]))
 
 
 def sanitize_path_segment(c: Column, fallback: Column | str = "unnamed", *, ascii_only: bool = False) -> Column:

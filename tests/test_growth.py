@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from placemill.functions import geo
-from placemill.operators import photos, resolve, vector_fold
+from placemill.functions import geo, responses as rs, text
+from placemill.operators import photos, resolve, responses, vector_fold
 
 
 def metres(a, b):
@@ -95,3 +95,17 @@ def test_slices_double(spark):
     rows = spark.range(2000).select(F.lit(1).alias("search_id"), F.lit(7).alias("component"), F.col("id").alias("ord"))
     sizes = [r.n for r in vector_fold.sliced(rows, 2, 4, most=256).groupBy("slice").agg(F.count(F.lit(1)).alias("n")).orderBy("slice").collect()]
     assert sum(sizes) == 2000 and max(sizes) <= 256 and len(sizes) <= 14
+
+
+def test_records_meet_python_once(spark):
+    """One Python step a row however often the records are used; repeated keys, broken arrays and loose objects as before."""
+    raws = ['[{"i":1,"i":2,"keep":true}]', 'x [{"i":1}', '{"i":3} and {"i":4,"i":5} {bad}', '[{"i":0}]', "none", None, '[{"i":7}, {"i":8}] {"i":9']
+    want = [[2], [1], [3, 5], [0], None, None, [7, 8]]
+    df = spark.createDataFrame(list(enumerate(raws)), "n int, raw string").withColumn("v", rs.parse_records(F.col("raw")))
+    got = df.select("n", F.transform("v", lambda v: F.try_variant_get(v, "$.i", "bigint")).alias("i")).orderBy("n").collect()
+    assert [r.i or None for r in got] == want
+    rows = responses.completions_to_records(spark.createDataFrame([(1, raws[0])], "batch_id int, raw string"), ["batch_id"])
+    assert rows.select("r.keep", "r.i")._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1
+    wide = text.unicode_norm(F.concat("raw", F.lit("é")), "NFC")
+    twice = df.select("raw").select(F.md5(wide), F.length(wide))
+    assert twice.count() == len(raws) and df.select(text.unicode_norm(F.lit("é"), "NFC").alias("c")).first().c == "é"
