@@ -587,11 +587,14 @@ select count(*) as total, count(*) filter (where s[2] in ('done', 'skipped', 'fa
 def j4(spark, folder):
     """The totals after the last of several micro-batches."""
     parts = fresh_path(spark, "changes")
-    table(spark, folder, "lineitem").selectExpr(
+    rows = table(spark, folder, "lineitem").selectExpr(
         "l_suppkey % 25 as region_ord", "cast(l_shipdate as timestamp) as ts",
         "case l_linenumber % 4 when 0 then 'searching' when 1 then 'done' when 2 then 'failed' else 'exporting' end as status", "l_partkey as place_count",
-    ).repartition(3, "place_count").write.parquet(parts)
-    changes = spark.readStream.schema(jobs.CHANGES).option("maxFilesPerTrigger", 1).parquet(parts)
+    )
+    # Three micro-batches; the files of each grow in number with the input, not in size.
+    files = rows.rdd.getNumPartitions()
+    rows.repartition(3 * files, "place_count").write.parquet(parts)
+    changes = spark.readStream.schema(jobs.CHANGES).option("maxFilesPerTrigger", files).parquet(parts)
     counters = fresh_path(spark, "counters")
     jobs.run_available(jobs.job_counters(changes, counters, fresh_path(spark, "checkpoint")))
     last = F.max_by(F.struct("total", "finished", "failed", "places"), "batch_id").alias("last")

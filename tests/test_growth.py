@@ -1,6 +1,7 @@
 """Work that must follow the rows, not their square or the size of a plan."""
 
 import math
+import pathlib
 import random
 
 import pytest
@@ -8,6 +9,9 @@ from pyspark.sql import functions as F
 
 from placemill.functions import geo, responses as rs, text
 from placemill.operators import photos, resolve, responses, vector_fold
+from placemill.plans import queries_jobs  # noqa: F401
+from placemill.plans.registry import QUERIES
+from placemill.session import shared_folder
 
 
 def metres(a, b):
@@ -109,3 +113,17 @@ def test_records_meet_python_once(spark):
     wide = text.unicode_norm(F.concat("raw", F.lit("é")), "NFC")
     twice = df.select("raw").select(F.md5(wide), F.length(wide))
     assert twice.count() == len(raws) and df.select(text.unicode_norm(F.lit("é"), "NFC").alias("c")).first().c == "é"
+
+
+def test_job_counters_write_files_by_input_size(spark):
+    """The changes are dealt to more tasks where the input has more splits, in three micro-batches."""
+    folder = "/root/testdata/sf0.01"
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        before = set(pathlib.Path(shared_folder(spark).removeprefix("file:")).glob("changes-*"))
+        QUERIES["j4_job_counters"](spark, folder).collect()
+        made = set(pathlib.Path(shared_folder(spark).removeprefix("file:")).glob("changes-*")) - before
+        assert len(list(made.pop().glob("part-*.parquet"))) > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
