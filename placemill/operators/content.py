@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from placemill import dims
 from placemill.functions import hours, tags as tg
-from placemill.functions.text import WHITE, clean_text, has_readable_content, is_mostly_non_latin, name_key, opt, trimmed
+from placemill.functions.text import WHITE, bind, clean_text, has_readable_content, is_mostly_non_latin, name_key, opt, trimmed
 from placemill.operators.mentions import EDGE, mentions
 from placemill.operators.rank import first_per, number_rows, top_k
 
@@ -124,17 +124,25 @@ def match_articles(names: DataFrame, articles: DataFrame, min_chars: int = LONG_
 # --- excerpts -----------------------------------------------------------------
 
 def excerpt_windows(text: Column, needle: Column, around: int = WINDOW, most: int = MAX_WINDOWS) -> Column:
-    """Text around the first mentions; each search starts where the last window ended."""
-    low = F.lower(text)
-    begin, windows = F.lit(1), []
-    for _ in range(most):
-        at = F.position(needle, low, begin)
+    """Text around the first mentions; each search starts where the last window ended.
+
+    The text in lower case, each place and each end are bound, so that they are found once.
+    """
+
+    def window(at: Column, last: Column) -> Column:
         first = F.greatest(at - around, F.lit(1))
-        last = F.least(at - 1 + F.length(needle) + around, F.length(text))
-        window = F.trim(F.regexp_replace(F.substr(text, first, last - first + 1), f"{WHITE}+", " "))
-        windows.append(F.when(at > 0, window))
-        begin = F.when(at > 0, last + 1)
-    return F.array_compact(F.array(*windows))
+        return F.trim(F.regexp_replace(F.substr(text, first, last - first + 1), f"{WHITE}+", " "))
+
+    def following(low: Column, begin: Column, left: int) -> Column:
+        def at_mention(at: Column) -> Column:
+            last = F.least(at - 1 + F.length(needle) + around, F.length(text))
+            here = lambda end: F.array(window(at, end))
+            more = lambda end: F.concat(here(end), following(low, end + 1, left - 1)) if left > 1 else here(end)
+            return F.when(at > 0, bind(last, more)).otherwise(F.expr("cast(array() as array<string>)"))
+
+        return bind(F.position(needle, low, begin), at_mention)
+
+    return bind(F.lower(text), lambda low: following(low, F.lit(1), most))
 
 
 def excerpts(docs: DataFrame, places: DataFrame, edge: int = EDGE) -> DataFrame:

@@ -11,6 +11,8 @@ name with a word that no text has is looked for nowhere.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +37,14 @@ def words_of_names(needles: DataFrame) -> DataFrame:
     return at.select("needle", "pos", kind.alias("kind"), "token")
 
 
-def _runs(word: Column) -> Column:
-    """The distinct runs of GRAM letters."""
-    letters = F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0))
-    run = lambda i: F.concat(*[F.get(letters, i + k) for k in range(GRAM)])
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.length(word) - GRAM), run))
+def _cuts(df: DataFrame, longest: Column, cut: Callable[[Column], Column], name: str) -> DataFrame:
+    """A row for each number from 1 to ``longest``, with ``cut`` of it as ``name``."""
+    return df.withColumn("_n", F.explode(F.sequence(F.lit(1), longest))).withColumn(name, cut(F.col("_n"))).drop("_n")
+
+
+def _runs(df: DataFrame, word: str) -> DataFrame:
+    """The runs of GRAM letters of each ``word``; one that it holds twice comes twice."""
+    return _cuts(df.where(F.length(word) >= GRAM), F.length(word) - GRAM + 1, lambda n: F.substr(F.col(word), n, F.lit(GRAM)), "run")
 
 
 def matching_words(vocabulary: DataFrame, wanted: DataFrame, edge: int = EDGE) -> DataFrame:
@@ -49,22 +54,21 @@ def matching_words(vocabulary: DataFrame, wanted: DataFrame, edge: int = EDGE) -
         return wanted.where(F.col("kind") == kind).drop("kind")
 
     whole = of("whole").join(vocabulary, F.col("token") == F.col("word")).select(F.lit("whole").alias("kind"), "token", "word", "texts")
-    lengths = F.sequence(F.lit(1), F.least(F.length("word"), F.lit(edge)))
+    lengths = F.least(F.length("word"), F.lit(edge))
     first = lambda c, n: F.substr(c, F.lit(1), n)
     last = lambda c, n: F.right(c, n)
     short = F.least(F.length("token"), F.lit(edge))
     by_edge = []
     for kind, cut, holds in (("begins", first, F.startswith), ("ends", last, F.endswith)):
-        edges = vocabulary.withColumn("edge", F.explode(F.transform(lengths, lambda n: cut(F.col("word"), n))))
+        edges = _cuts(vocabulary, lengths, lambda n: cut(F.col("word"), n), "edge")  # noqa: B023
         asked = of(kind).withColumn("edge", cut(F.col("token"), short))
         by_edge.append(asked.join(edges, "edge").where(holds(F.col("word"), F.col("token"))).select(F.lit(kind).alias("kind"), "token", "word", "texts"))
     # A single word meets the vocabulary on the run that the fewest words have; only runs that are asked for are looked at.
-    asked = written(of("inside").where(F.length("token") >= GRAM).select("token", F.explode(_runs(F.col("token"))).alias("run")), "runs")
-    runs = vocabulary.where(F.length("word") >= GRAM).select("word", "texts", F.explode(_runs(F.col("word"))).alias("run"))
-    runs = runs.join(asked.select("run").distinct(), "run", "left_semi")
+    asked = written(_runs(of("inside"), "token").distinct(), "runs")
+    runs = _runs(vocabulary, "word").join(asked.select("run").distinct(), "run", "left_semi")
     common = runs.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     rarest = asked.join(common, "run", "left").groupBy("token").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run")).alias("best"))
-    inside = rarest.select("token", "best.run").join(runs, "run").where(F.contains(F.col("word"), F.col("token"))).select(F.lit("inside").alias("kind"), "token", "word", "texts")
+    inside = rarest.select("token", "best.run").join(runs, "run").where(F.contains(F.col("word"), F.col("token"))).select(F.lit("inside").alias("kind"), "token", "word", "texts").distinct()
     return whole.unionByName(by_edge[0]).unionByName(by_edge[1]).unionByName(inside)
 
 

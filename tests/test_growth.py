@@ -3,12 +3,13 @@
 import math
 import pathlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from placemill.functions import geo, responses as rs, text
-from placemill.operators import photos, resolve, responses, vector_fold
+from placemill.operators import content, mentions, photos, resolve, responses, vector_fold
 from placemill.plans import queries_jobs  # noqa: F401
 from placemill.plans.registry import QUERIES
 from placemill.session import shared_folder
@@ -127,3 +128,23 @@ def test_job_counters_write_files_by_input_size(spark):
         assert len(list(made.pop().glob("part-*.parquet"))) > 3
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_excerpt_windows_lower_a_text_once(spark):
+    """Windows of a plain search, and one lower-case copy of a text however many windows are shown."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Art", "ART  gallery", "étage", "\U0001f642", "x\n", "word" * rng.randrange(1, 90)]) for _ in range(rng.randrange(60))) for _ in range(60)]
+
+    def windows(t, needle):
+        out, begin, low = [], 0, t.lower()
+        while len(out) < 3 and (at := low.find(needle, begin)) >= 0:
+            begin = min(at + len(needle) + 350, len(t))
+            out.append(re.sub(r"[\s\xa0]+", " ", t[max(at - 350, 0):begin]).strip(" "))
+        return out
+
+    df = spark.createDataFrame([(i, t, n) for i, t in enumerate(texts) for n in ("art", "art  gallery", "étage", "zz")], "id int, text string, needle string")
+    shown = df.select("id", "needle", content.excerpt_windows(F.col("text"), F.col("needle")).alias("w"))
+    got = {(r.id, r.needle): r.w for r in shown.collect()}
+    assert got == {(i, n): windows(t, n) for i, t in enumerate(texts) for n in ("art", "art  gallery", "étage", "zz")}
+    assert max(map(len, got.values())) == 3
+    assert shown._jdf.queryExecution().analyzed().toString().count("lower(") == 1
