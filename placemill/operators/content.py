@@ -10,6 +10,7 @@ from placemill.functions import hours, tags as tg
 from placemill.functions.text import WHITE, bind, clean_text, has_readable_content, is_mostly_non_latin, name_key, opt, trimmed
 from placemill.operators.mentions import EDGE, mentions
 from placemill.operators.rank import first_per, number_rows, top_k
+from placemill.session import written
 
 LONG_ENOUGH = 200      # characters an article needs to count
 WINDOW = 350           # characters shown on either side of a mention
@@ -157,8 +158,10 @@ def excerpts(docs: DataFrame, places: DataFrame, edge: int = EDGE) -> DataFrame:
 def attach_excerpts(content: DataFrame, sources: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Content with a row for every place that has one or an excerpt, and the extended source rows.
 
-    Sources stay one row each, so a place mentioned everywhere is no giant row.
+    Sources stay one row each, so a place mentioned everywhere is no giant row. The
+    mentions are written, as both results and the numbering read them.
     """
+    found = written(found.select("place_id", "doc_id", "label", "url"), "found")
     mentioned = found.groupBy("place_id").agg(F.count(F.lit(1)).alias("excerpts"))
     rows = content.withColumn("_had", F.lit(True)).join(mentioned, "place_id", "full")
     rows = rows.withColumn("created", F.col("_had").isNull()).withColumn("excerpts", F.coalesce("excerpts", F.lit(0))).drop("_had")

@@ -148,3 +148,15 @@ def test_excerpt_windows_lower_a_text_once(spark):
     assert got == {(i, n): windows(t, n) for i, t in enumerate(texts) for n in ("art", "art  gallery", "étage", "zz")}
     assert max(map(len, got.values())) == 3
     assert shown._jdf.queryExecution().analyzed().toString().count("lower(") == 1
+
+
+def test_words_meet_names_without_a_lambda_per_word(spark):
+    """Runs and edges of the vocabulary are plain rows; a run that a word holds twice matches once."""
+    vocabulary = spark.createDataFrame([("papapapa", 3), ("spa", 2), ("\U0001f642pap", 1), ("xy", 9)], "word string, texts bigint")
+    wanted = spark.createDataFrame([("inside", "papa"), ("inside", "pap"), ("begins", "sp"), ("ends", "papa"), ("whole", "xy")], "kind string, token string")
+    matched = mentions.matching_words(vocabulary, wanted)
+    assert sorted((r.kind, r.token, r.word, r.texts) for r in matched.collect()) == sorted([
+        ("inside", "papa", "papapapa", 3), ("inside", "pap", "papapapa", 3), ("inside", "pap", "\U0001f642pap", 1),
+        ("begins", "sp", "spa", 2), ("ends", "papa", "papapapa", 3), ("whole", "xy", "xy", 9),
+    ])
+    assert "lambda" not in matched._jdf.queryExecution().optimizedPlan().toString()
