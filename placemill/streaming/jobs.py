@@ -1,8 +1,8 @@
 """Structured Streaming jobs: claims, request filtering, latest stages, run counters.
 
-All jobs keep their memory in keyed state. Counters write one folder per micro-batch,
-so a replayed batch overwrites itself, and read only the folder of the batch before;
-the others write through the file sink, which takes each batch once.
+All jobs keep their memory in keyed state. Claims and counters write one folder per
+micro-batch, so a replayed batch overwrites itself; counters read only the folder of the
+batch before. The others write through the file sink, which takes each batch once.
 """
 
 from __future__ import annotations
@@ -36,28 +36,30 @@ def _publish(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def first_region(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The smallest region per place leaves a map task, so a place found everywhere reaches its state as a few rows."""
-    for frame in frames:
-        yield frame.groupby("place_id", as_index=False)["region_ord"].min()
-
+def first_claims(found: DataFrame) -> DataFrame:
+    """(place_id, region_ord) of the places that no earlier micro-batch found, for the smallest region that found them.
 
-def claim_once(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The first micro-batch that finds a place claims it, for the smallest region; later ones find it taken."""
-    if not state.exists:
-        best = min(int(f["region_ord"].min()) for f in frames)
-        state.update((best,))
-        yield pd.DataFrame({"place_id": [key[0]], "region_ord": [best]})
+    The state of a place is its smallest region and the times of the first and the last
+    micro-batch that found it. The time is the same for all rows of a micro-batch and
+    for its replay, so a place is claimed only where both are the time of this one; a
+    clock that goes back claims nothing twice.
+    """
+    now = F.current_timestamp()
+    use_rocksdb(found.sparkSession)
+    seen = found.select("place_id", "region_ord", now.alias("at")).groupBy("place_id").agg(
+        F.min("region_ord").alias("region_ord"), F.min("at").alias("first"), F.max("at").alias("last")
+    )
+    return seen.where((F.col("first") == now) & (F.col("last") == now)).select("place_id", "region_ord")
 
 
 def resolve_stream(found: DataFrame, claims_path: str, checkpoint: str) -> DataStreamWriter:
     """Each micro-batch claims only places no earlier batch claimed; ``found``: place_id, region_ord.
 
-    The state holds one number per place; claims already written are never read again.
+    The state is kept by Spark's own aggregate, one row per place; claims already
+    written are never read again.
     """
-    slim = found.select("place_id", "region_ord").mapInPandas(first_region, CLAIMS)
-    claimed = slim.groupBy("place_id").applyInPandasWithState(claim_once, CLAIMS, "region_ord bigint", "append", GroupStateTimeout.NoTimeout)
-    return claimed.writeStream.format("parquet").option("path", claims_path).option("checkpointLocation", checkpoint)
+    publish = lambda batch, batch_id: _publish(batch, claims_path, batch_id)
+    return first_claims(found).writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint)
 
 
 def read_claims(spark: SparkSession, claims_path: str) -> DataFrame:

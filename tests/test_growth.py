@@ -13,6 +13,7 @@ from placemill.operators import content, mentions, photos, resolve, responses, v
 from placemill.plans import queries_jobs  # noqa: F401
 from placemill.plans.registry import QUERIES
 from placemill.session import shared_folder
+from placemill.streaming import jobs
 
 
 def metres(a, b):
@@ -160,3 +161,17 @@ def test_words_meet_names_without_a_lambda_per_word(spark):
         ("begins", "sp", "spa", 2), ("ends", "papa", "papapapa", 3), ("whole", "xy", "xy", 9),
     ])
     assert "lambda" not in matched._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claims_are_kept_by_the_aggregate(spark, tmp_path):
+    """No Python per place; a claim stands when a later micro-batch finds the place in a smaller region, missing ids as in the batch twin."""
+    source, claims, checkpoint = (str(tmp_path / d) for d in ("in", "claims", "cp"))
+    shape = "place_id bigint, region_ord bigint"
+    stream = lambda: spark.readStream.schema(shape).parquet(source)
+    batches = [[(1, 5), (1, 4), (2, 9), (None, 8), (None, 3)], [(1, 2), (3, 6), (None, 1)], [(1, 1), (2, 1), (3, 1)]]
+    for rows in batches:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
+        jobs.run_available(jobs.resolve_stream(stream(), claims, checkpoint))
+    assert {tuple(r) for r in jobs.read_claims(spark, claims).collect()} == {(1, 4), (2, 9), (3, 6), (None, 3)}
+    assert jobs.read_claims(spark, claims).count() == 4
+    assert "Pandas" not in jobs.first_claims(stream())._jdf.queryExecution().logical().toString()
