@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from placemill import dims
 from placemill.functions.text import escape_keyword, normalise_keyword, to_title_case
-from placemill.session import cut
+from placemill.session import cut, written
 
 
 def category_tokens(spark: SparkSession) -> DataFrame:
@@ -139,16 +139,19 @@ def classes_for(categories: DataFrame) -> DataFrame:
 
 
 def subclass_closure(edges: DataFrame) -> DataFrame:
-    """(child, ancestor, depth) over any number of steps, shortest depth kept; cycles end by themselves."""
-    edges = edges.select("child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct()
+    """(child, ancestor, depth) over any number of steps, shortest depth kept; cycles end by themselves.
+
+    Both sides of a step grow with the edges, so neither is broadcast: every step would send its share through the driver.
+    """
+    edges = written(edges.select("child", "parent").where(F.col("child").isNotNull() & F.col("parent").isNotNull()).distinct(), "edges")
     frontier = cut(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
     closure = frontier
-    step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("up"))
+    step = edges.select(F.col("child").alias("ancestor"), F.col("parent").alias("up")).hint("merge")
     depth = 1
     while True:
         depth += 1
         grown = frontier.join(step, "ancestor").select("child", F.col("up").alias("ancestor")).distinct()
-        frontier = cut(grown.join(closure, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(grown.join(closure.hint("merge"), ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return closure
         closure = cut(closure.unionByName(frontier)) if depth % 16 == 0 else closure.unionByName(frontier)

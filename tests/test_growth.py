@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placemill.functions import geo, responses as rs, text
-from placemill.operators import content, mentions, photos, resolve, responses, vector_fold
+from placemill.operators import content, mentions, photos, resolve, responses, select, vector_fold
 from placemill.plans import queries_jobs  # noqa: F401
 from placemill.plans.registry import QUERIES
 from placemill.session import shared_folder
@@ -175,3 +175,23 @@ def test_claims_are_kept_by_the_aggregate(spark, tmp_path):
     assert {tuple(r) for r in jobs.read_claims(spark, claims).collect()} == {(1, 4), (2, 9), (3, 6), (None, 3)}
     assert jobs.read_claims(spark, claims).count() == 4
     assert "Pandas" not in jobs.first_claims(stream())._jdf.queryExecution().logical().toString()
+
+
+def test_closure_sends_no_edges_through_the_driver(spark, monkeypatch):
+    """No step is broadcast, however small; a chain with a short cut and a cycle has its shortest depths."""
+    steps, cut = [], select.cut
+    monkeypatch.setattr(select, "cut", lambda df: (steps.append(df), cut(df))[1])
+    pairs = [(i, i + 1) for i in range(6)] + [(0, 3), (6, 4), (None, 1), (2, None), (2, 3)]
+    got = select.subclass_closure(spark.createDataFrame(pairs, "child bigint, parent bigint")).collect()
+    up, want = {}, {}
+    for c, p in pairs:
+        if c is not None and p is not None:
+            up.setdefault(c, set()).add(p)
+    for c in up:
+        level, depth = up[c], 1
+        while level:
+            want |= {(c, a): depth for a in level}
+            level, depth = {p for a in level for p in up.get(a, ()) if (c, p) not in want}, depth + 1
+    assert len(got) == len(want) and {(r.child, r.ancestor): r.depth for r in got} == want
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in steps]
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
