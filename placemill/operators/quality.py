@@ -11,7 +11,10 @@ from placemill.operators.rank import next_value, value_at
 
 
 def search_stats(raw: DataFrame, deduped: DataFrame, kept: DataFrame, photos: DataFrame) -> DataFrame:
-    """Rows per search at each stage; every stage is one map-side count."""
+    """Rows per search at each stage; every stage is one map-side count.
+
+    The stages are read several times, so they should be stored tables.
+    """
     count = lambda df, name: df.groupBy("search_id").agg(F.count(F.lit(1)).alias(name))
     pictured = kept.join(photos.select("place_id").distinct(), "place_id", "left_semi")
     out = count(raw, "raw_count")

@@ -10,6 +10,7 @@ from placemill.operators import export, quality, resolve, score, select, validat
 from placemill.operators.rank import batch_ids, number_rows
 from placemill.plans.registry import query
 from placemill.plans.samples import places_with_tags, rich_elements, rich_places, sample, table, using
+from placemill.session import written
 
 # --- SQL fragments shared by the checks --------------------------------------
 
@@ -481,7 +482,7 @@ left join (select search_id, count(*) as n from kept group by 1) k using (search
 left join (select search_id, count(*) as n from kept where concat('node/', ord) in (from pictured) group by 1) w using (search_id)""")
 def e1(spark, folder):
     raw = places_with_tags(spark, folder)
-    deduped = resolve.dedupe_places(raw).withColumn("place_id", F.col("id"))
+    deduped = written(resolve.dedupe_places(raw).select("search_id", F.col("id").alias("place_id"), "score"), "deduped")
     photos = sample(spark, folder, "photos").select("place_id")
     return quality.search_stats(raw, deduped, deduped.where("score >= 12"), photos)
 

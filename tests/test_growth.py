@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placemill.functions import geo, responses as rs, text
 from placemill.operators import content, mentions, photos, resolve, responses, select, vector_fold
-from placemill.plans import queries_jobs  # noqa: F401
+from placemill.plans import queries_jobs, queries_places  # noqa: F401
 from placemill.plans.registry import QUERIES
 from placemill.session import shared_folder
 from placemill.streaming import jobs
@@ -195,3 +195,9 @@ def test_closure_sends_no_edges_through_the_driver(spark, monkeypatch):
     assert len(got) == len(want) and {(r.child, r.ancestor): r.depth for r in got} == want
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in steps]
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_search_stats_fold_once(spark):
+    """The counts read the stored places, so the fold is in no plan that is left."""
+    stats = QUERIES["e1_search_stats"](spark, "/root/testdata/sf0.001")
+    assert "collect_list" not in stats._jdf.queryExecution().optimizedPlan().toString()
