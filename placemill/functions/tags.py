@@ -135,9 +135,12 @@ def rating_score(rating: Column) -> Column:
     return F.coalesce(F.floor(rating * 20 + 0.5).cast("int"), F.lit(50))
 
 
+BRAND_KEYS = ("brand", "brand:wikidata", "operator")
+
+
 def is_branded(tags: Column) -> Column:
     """Brand or operator present: the guard of the vector pass."""
-    return has(tags, "brand", "brand:wikidata", "operator")
+    return has(tags, *BRAND_KEYS)
 
 
 def is_chain_like(tags: Column) -> Column:

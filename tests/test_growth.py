@@ -201,3 +201,60 @@ def test_search_stats_fold_once(spark):
     """The counts read the stored places, so the fold is in no plan that is left."""
     stats = QUERIES["e1_search_stats"](spark, "/root/testdata/sf0.001")
     assert "collect_list" not in stats._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_merge_needs_no_round_per_replaced_record(spark):
+    """Each row is richer than the record it joins; the jobs do not follow the rows."""
+    rows = [(1, i, f"node/{i}", "Long Hall", 10.0, 20.0, "node", {f"k{j}": str(i) for j in range(i + 1)}) for i in range(14)]
+    places = spark.createDataFrame(rows, "search_id bigint, ord bigint, id string, name string, lat double, lon double, osm_type string, tags map<string,string>")
+    spark.sparkContext.setJobGroup("long-hall", "merge")
+    try:
+        got = resolve.dedupe_places(places, max_group=5, batch=2).collect()
+        jobs_run = spark.sparkContext.statusTracker().getJobIdsForGroup("long-hall")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert [(r.ord, r.first_ord, r.bucket_ord, r.segments, len(r.tags)) for r in got] == [(13, 0, 0, 14, 15)]
+    assert len(jobs_run) < 12
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_merge_along_the_stream(spark, batch):
+    """Records of a plain fold: chains at the pole, on the date line and beyond 180 degrees, places unknown, records that move and turn from chain to landmark."""
+    rng = random.Random(11)
+    spots = [(89.9995, 10.0), (89.9995, -170.0), (10.0, 179.9995), (10.0, -179.9995), (10.0, 180.0005), (10.0, 540.001), (10.001, 20.0), (10.002, 20.0), (10.004, 20.0), (10.006, 20.001), (None, 20.0), (10.0, None)]
+    kinds = ["wikidata", "wikipedia", "contact:website", "phone", "description", "addr:street", "note", "fax"]
+    rows = []
+    for i in range(400):
+        name = rng.choice(["Hall A", "hall-a", "Hall B", "Hall C", None])
+        tags = {k: rng.choice(["", f"{k}{i}"]) for k in rng.sample(kinds, rng.choice([0, 1, 2, 2, 5]))}
+        if name == "Hall B" or rng.random() < 0.6:
+            tags["amenity"] = rng.choice(["cafe", "bank"]) if name == "Hall B" else rng.choice(["cafe", "bank", "museum"])
+        if rng.random() < 0.1:
+            tags[rng.choice(["brand", "operator"])] = rng.choice(["", "Acme"])
+        lat, lon = rng.choice(spots)
+        rows.append((rng.choice([1, 2, None]), i, f"node/{i}", name, lat, lon, rng.choice(["node", "way", None]), tags))
+    rows += [r for r in rows if r[1] % 9 == 0]
+    gain = [(("wikidata",), 8), (("wikipedia",), 6), (("website", "contact:website"), 4), (("phone", "contact:phone"), 4), (("description",), 3), (("addr:street",), 2)]
+    score = lambda t, kind: len(t) + sum(n for keys, n in gain if any(t.get(k) for k in keys)) + (kind == "way")
+    chain = lambda t: bool(t.get("brand") or t.get("operator")) or t.get("amenity") in ("cafe", "bank")
+    near = lambda a, b: None not in (*a, *b) and metres(a, b) < 250
+    kept, turned = {}, 0
+    for s, i, _, name, lat, lon, kind, tags in sorted(rows, key=lambda r: r[1]):
+        here = kept.setdefault((s, name and re.sub("[^a-z0-9]", "", name.lower())), [])
+        old = next((k for k in here if not (chain(tags) or chain(k["tags"])) or near(k["at"], (lat, lon))), None)
+        if old is None:
+            here.append({"ord": i, "first": i, "n": 1, "at": (lat, lon), "kind": kind, "tags": tags})
+            continue
+        was = chain(old["tags"])
+        old["n"] += 1
+        if score(tags, kind) > score(old["tags"], old["kind"]):
+            old |= {"ord": i, "at": (lat, lon), "kind": kind, "tags": old["tags"] | tags}
+        else:
+            old["tags"] = tags | old["tags"]
+        turned += was != chain(old["tags"])
+    want = [(s, name, here[0]["first"], k["ord"], k["first"], k["n"], k["at"], k["kind"], k["tags"] | ({"x:segments": str(k["n"])} if k["n"] > 1 else {})) for (s, name), here in kept.items() for k in here]
+    df = spark.createDataFrame(rows, "search_id bigint, ord bigint, id string, name string, lat double, lon double, osm_type string, tags map<string,string>")
+    got = resolve.dedupe_places(df, batch=batch).collect()
+    plain = lambda *r: repr((*r[:-1], sorted(r[-1].items())))
+    assert sorted(plain(r.search_id, r.name_key, r.bucket_ord, r.ord, r.first_ord, r.segments, (r.lat, r.lon), r.osm_type, r.tags) for r in got) == sorted(plain(*w) for w in want)
+    assert all(r.score == score(r.tags, r.osm_type) for r in got) and len(want) > 40 and turned > 3
